@@ -38,8 +38,8 @@ def test_taken_words_meet_the_targets_and_sql_agrees(spark):
         assert 0 <= r.taken <= 3 * r.size
     for r in out.itertuples():
         assert by[r.source] == int(r.target)
-    documents = docs.toPandas()  # noqa: F841
+    documents = docs.toArrow()  # noqa: F841
     columns = ["doc_id", "size", "source_size", "target", "taken", "source", "epochs", "part"]
-    want = duckdb.sql(mixing.ORACLE_SQL).df()
-    assert sorted(map(str, out[columns].astype(object).where(out[columns].notna(), None).values.tolist())) == sorted(map(str, want[columns].astype(object).where(want[columns].notna(), None).values.tolist()))
+    want = duckdb.sql(mixing.ORACLE_SQL).fetchall()
+    assert sorted(map(str, map(tuple, mixing.mix(docs).select(columns).collect()))) == sorted(map(str, want))
     assert mixing.mix(docs.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import language, mixing, pieces, quality
+from tidelog.llm import language, mixing, pieces, quality, simhash
 from tidelog.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
