@@ -43,3 +43,18 @@ def test_taken_words_meet_the_targets_and_sql_agrees(spark):
     want = duckdb.sql(mixing.ORACLE_SQL).fetchall()
     assert sorted(map(str, map(tuple, mixing.mix(docs).select(columns).collect()))) == sorted(map(str, want))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_documents_of_the_mix(spark):
+    rows = [(i, f"one\ttwo {i}\nfour " * (1 + i % 5), "hot" if i % 3 else "cold", i) for i in range(60)] + [(99, "", "hot", 1), (98, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, part long")
+    plan = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    texts = {i: t for i, t, *_ in rows}
+    words = defaultdict(int)
+    for r in got.collect():
+        assert r.text == texts[r.doc_id] or texts[r.doc_id].startswith(r.text)
+        words[r.doc_id] += len((r.text or "").split())
+    assert {i: n for i, n in words.items() if n} == {i: r.taken for i, r in plan.items() if r.taken}
+    assert {98, 99} <= set(words)

@@ -54,12 +54,20 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     keyed as the empty text. Rows that are equal in all of these share the words of their places in any order. Other
     columns are not read. An empty table gives an empty result.
     """
-    key = F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = saved(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-        .withColumn("key", key)
+    placed = _placed(docs, doc_id, text, source, salt, carry=False)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken"), "source", "epochs", "part")
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str, source: str, salt: str, *, carry: bool) -> DataFrame:
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] * carry
+    sized = (
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *whole)
+        .withColumn("key", F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
         .withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     )
+    if not carry:
+        sized = saved(sized)
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).select("source", "range", "start")
@@ -71,24 +79,23 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(plan, placed.source.eqNullSafe(F.col("of")) & (placed.range == F.col("in")))
     budget = F.floor("target").cast("long")
-    return joined.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        "source",
-        F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
-        (F.col("start") + F.col("inside")).alias("place"),
-    ).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.col("epochs") + (part := F.least("size", F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("place"))))).cast("long").alias("taken"),
-        "source",
-        "epochs",
-        part.cast("long").alias("part"),
-    )
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    left = budget - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("inside")
+    return joined.withColumn("epochs", epochs).withColumn("part", F.least("size", F.greatest(F.lit(0), left)).cast("long"))
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", salt: str = "mix") -> DataFrame:
+    """The documents of the mix, with the columns of docs: a row for each time that one is taken.
+
+    A copy that the budget cuts ends with the last word taken; documents without a word are kept once, as they weigh
+    nothing. Rows that share an id are told apart as in mix().
+    """
+    placed = _placed(docs, doc_id, text, source, salt, carry=True)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
+    body = F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), cut).otherwise(F.col(f"row.{text}"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("part") > 0).cast("long"))
+    rows = placed.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*((body if c == text else F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""
