@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import language, linededup, mixing, pieces, quality, simhash
+from tidelog.llm import language, linededup, mixing, neighbours, pieces, quality, simhash, urlfilter
 from tidelog.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +23,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -50,3 +56,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_mixing"] = mixing.ORACLE_SQL
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.evaluate(urlfilter.derived_captures(pages), urlfilter.derived_entries(pages), columns=("page_id",))
+
+
+ORACLE_SQL["op10_urls"] = urlfilter.ORACLE_SQL
