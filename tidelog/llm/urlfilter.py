@@ -113,6 +113,6 @@ WITH parsed AS (
   FROM covered c JOIN spans s ON lower(c.key) = s.key AND s.listed AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
   GROUP BY ALL
 )
-SELECT p.page_id, p.url, p.fetched, h.hit IS NOT NULL AS blocked, h.hit.key AS matched, h.hit.since AS since
+SELECT p.page_id, p.url, p.fetched, h.hit IS NOT NULL AS blocked, coalesce(h.hit.key, '') AS matched, coalesce(h.hit.since, -1)::BIGINT AS since
 FROM parsed p LEFT JOIN hits h ON p.url = h.url AND p.fetched = h.fetched
 """
