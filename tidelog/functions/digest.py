@@ -6,6 +6,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a file that are read at a time.
 CHUNK = 8 << 20
@@ -18,7 +19,7 @@ def job_id(name: str, specifier: str = "") -> str:
     return xxhash.xxh64_hexdigest(f"{name}:{specifier}" if specifier else name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _job_ids(names: pd.Series, specifiers: pd.Series) -> pd.Series:
     return pd.Series([None if n is None else job_id(n, s or "") for n, s in zip(names, specifiers, strict=True)], dtype=object)
 
@@ -36,7 +37,7 @@ def file_digest(path: str, rel_path: str) -> bytes:
     return state.digest()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def file_digests(paths: pd.Series, rel_paths: pd.Series) -> pd.Series:
     return pd.Series([file_digest(p, r) for p, r in zip(paths, rel_paths, strict=True)], dtype=object)
 

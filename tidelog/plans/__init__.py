@@ -1,3 +1,6 @@
 """Registered queries over the test tables, and their SQL twins."""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+from tidelog.plans import alignment, arrays, entries, files, jobs
+from tidelog.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "arrays", "entries", "files", "jobs"]
