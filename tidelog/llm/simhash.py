@@ -27,7 +27,7 @@ WORDS, SEED, RADIUS = 3, 42, 3
 #: The tree is built from about so many fingerprints, and has so many shards at most.
 SAMPLE, MOST_SHARDS = 16_384, 1024
 #: Fingerprints at home in a shard, by estimate; a shard with more than SPLIT rows is dealt to pairs of blocks.
-SHARD, SPLIT = 4096, 1 << 17
+SHARD, SPLIT = 16_384, 1 << 17
 #: Fingerprints that are compared each with each.
 LEAF = 384
 #: Words of a text that are hashed at a time.
