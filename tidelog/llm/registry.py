@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import language, linededup, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
+from tidelog.llm import language, linededup, media, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
 from tidelog.llm.common import table
 
 QUERIES: dict = {}
@@ -18,6 +18,11 @@ def query(f):  # noqa: ANN001, ANN201
     return f
 
 
+@query
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.pictures(table(spark, sf_dir, "embeddings")))
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
