@@ -26,6 +26,8 @@ def marker_files(listing: DataFrame, marker: str) -> DataFrame:
 
 def marker_roots(markers: DataFrame, levels_up: int = 0) -> DataFrame:
     """The distinct directories of markers, or those some levels above, in order. ValueError for a negative level."""
+    if levels_up < 0:
+        raise ValueError("levels_up must not be negative")
     return markers.select(paths.ancestor(F.col("path"), levels_up + 1).alias("root")).distinct().orderBy("root")
 
 

@@ -52,7 +52,7 @@ def transfer_directory(spark: SparkSession, source: str, destination: str, *, ve
         if not listing.filter("kind NOT IN ('file', 'dir')").isEmpty():
             raise ValueError(f"{source} holds what can't be copied")
         os.makedirs(destination, exist_ok=True)
-        extra = unaccounted(listing, walk_directory(spark, destination).filter("kind <> 'dir'"))
+        extra = unaccounted(listing, walk_directory(spark, destination).filter((F.col("kind") != "dir") & (F.col("name") != CHECKSUM_FILE)))
         if not extra.isEmpty():
             if not reset_dirty_destination:
                 raise ValueError(f"{destination} holds files that {source} does not")
