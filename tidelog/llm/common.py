@@ -21,6 +21,8 @@ def bound_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that long texts do not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # What a step has shuffled is of no use once saved() has its result.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
 
 def saved(df: DataFrame) -> DataFrame:

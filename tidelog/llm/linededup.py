@@ -27,10 +27,10 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 20
 
 #: Postings that a task gathers before it sends them off, and earlier lines named at first for each line and word.
-GATHER, NAMED = 1 << 20, 4
+GATHER, NAMED = 1 << 20, 64
 
 #: What a posting says: the word, where the line is, its size, the word's place, parity and hash of the set.
-_FIELDS = {"word": np.uint32, "doc": np.int64, "line": np.int32, "size": np.int32, "place": np.int32, "parity": np.uint64, "set": np.uint64}
+_FIELDS = {"word": np.uint32, "doc": np.int64, "line": np.int32, "size": np.int32, "place": np.int32, "parity": np.uint64, "more": np.uint64, "set": np.uint64}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D | 1
 _BYTES = np.random.default_rng(8).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
@@ -167,11 +167,12 @@ def postings(sets: Sets, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray
     kept = place < prefix[owner]
     if len(words):
         whole = np.add.reduceat((words ^ (words >> np.uint64(31))) * _MIX, sets.start)
-        parity = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), sets.start)
+        bit, upper = np.uint64(1) << (words >> np.uint64(58)), (words >> np.uint64(57) & np.uint64(1)).astype(bool)
+        parity, more = (np.bitwise_xor.reduceat(np.where(upper == half, bit, np.uint64(0)), sets.start) for half in (False, True))
     else:
-        whole = parity = words
+        whole = parity = more = words
     owner = owner[kept]
-    columns = (words[kept] >> np.uint64(32), ids[sets.doc][owner], sets.line[owner], sets.size[owner], place[kept], parity[owner], whole[owner])
+    columns = (words[kept] >> np.uint64(32), ids[sets.doc][owner], sets.line[owner], sets.size[owner], place[kept], parity[owner], more[owner], whole[owner])
     return [c.astype(t) for c, t in zip(columns, _FIELDS.values(), strict=True)]
 
 
@@ -181,7 +182,7 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, ..
     -1: the later line is the same set as an earlier one. Of lines that may be similar, the `named` earliest are given.
     """
     over, under = SIMILARITY
-    word, doc, line, size, place, parity, whole = columns
+    word, doc, line, size, place, parity, parity2, whole = columns
     first = np.lexsort((line, doc, whole, word))
     same = np.zeros(len(first), bool)
     same[1:] = (word[first][1:] == word[first][:-1]) & (whole[first][1:] == whole[first][:-1]) & (size[first][1:] == size[first][:-1])
@@ -204,7 +205,8 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, ..
         need = -(-over * total // (over + under))
         may = under * np.minimum(size[x], size[y]).astype(np.int64) >= over * np.maximum(size[x], size[y])
         may &= np.minimum(place[x], place[y]) + np.minimum(size[x] - place[x], size[y] - place[y]) >= need
-        may &= np.bitwise_count(parity[x] ^ parity[y]) <= total - 2 * need
+        # Each word that only one of the two has changes one of 128 bits.
+        may &= np.bitwise_count(parity[x] ^ parity[y]).astype(np.int64) + np.bitwise_count(parity2[x] ^ parity2[y]) <= total - 2 * need
         found = later[may]
         if len(found):
             had[found] += 1
@@ -242,9 +244,9 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             for sets in line_sets(*text_bytes(batch.column(1))):
                 columns = postings(sets, ids, counts.value)
                 # Of copies of a set in this task, only the earliest needs to meet others.
-                whole, at, back = np.unique(columns[6], return_index=True, return_inverse=True)
-                order = np.lexsort((columns[2], columns[1], columns[6]))
-                firsts = order[np.searchsorted(columns[6][order], whole)]
+                whole, at, back = np.unique(columns[-1], return_index=True, return_inverse=True)
+                order = np.lexsort((columns[2], columns[1], columns[-1]))
+                firsts = order[np.searchsorted(columns[-1][order], whole)]
                 first = (columns[1] == columns[1][firsts][back]) & (columns[2] == columns[2][firsts][back])
                 gathered.append([c[first] for c in columns])
                 copy = ~first & (columns[4] == 0)
