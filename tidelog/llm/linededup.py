@@ -27,10 +27,13 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 20
 
 #: Postings that a task gathers before it sends them off, and earlier lines named at first for each line and word.
-GATHER, NAMED = 1 << 20, 64
+GATHER, NAMED = 1 << 20, 4
+#: Lines of more words have WIDE further words of parity in their postings.
+LONG, WIDE = 120, 4
 
 #: What a posting says: the word, where the line is, its size, the word's place, parity and hash of the set.
 _FIELDS = {"word": np.uint32, "doc": np.int64, "line": np.int32, "size": np.int32, "place": np.int32, "parity": np.uint64, "more": np.uint64, "set": np.uint64}
+_SET = list(_FIELDS).index("set")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D | 1
 _BYTES = np.random.default_rng(8).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
@@ -67,10 +70,10 @@ class Sets:
 def line_sets(raw: np.ndarray, at: np.ndarray) -> Iterator[Sets]:
     """The sets of all lines of whole texts, some lines at a time."""
     breaks = np.flatnonzero(raw == 10)
-    ends = np.concatenate((breaks, at[1:]))  # a line ends at a line feed or with its text
+    ends = np.concatenate((at[1:], breaks))  # a line ends with its text or at a line feed, which may be the next text's first
     order = np.argsort(ends, kind="stable")
     ends = ends[order]
-    is_last = order >= len(breaks)
+    is_last = order < len(at) - 1
     doc = np.cumsum(np.concatenate(([0], is_last[:-1])))
     starts = np.concatenate(([0], np.where(is_last[:-1], ends[:-1], ends[:-1] + 1))) if len(ends) else ends
     first_line = np.concatenate(([0], np.flatnonzero(is_last)[:-1] + 1)) if len(ends) else ends
@@ -143,23 +146,33 @@ def rarity(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _pack(columns: list[np.ndarray], which: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c[which].tobytes() for c in columns))
+    """Columns one after the other; those of wide parity for long lines alone."""
+    long = which[columns[3][which] > LONG]
+    parts = [c[which].tobytes() for c in columns[: len(_FIELDS)]] + [c[long].tobytes() for c in columns[len(_FIELDS) :]]
+    return np.int64(len(which)).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
-    each, item = [], sum(np.dtype(t).itemsize for t in _FIELDS.values())
+    each = []
     for blob in blobs:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, at, columns = len(raw) // item, 0, []
+        n, raw = int(np.frombuffer(blob, np.int64, 1)[0]), zstandard.ZstdDecompressor().decompress(blob[8:])
+        at, columns = 0, []
         for kind in _FIELDS.values():
             columns.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
+        long = columns[3] > LONG
+        m = int(long.sum())
+        for _ in range(WIDE):
+            column = np.zeros(n, np.uint64)
+            column[long] = np.frombuffer(raw, np.uint64, m, at)
+            columns.append(column)
+            at += 8 * m
         each.append(columns)
     return [np.concatenate(c) for c in zip(*each, strict=True)]
 
 
 def postings(sets: Sets, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """A posting for each word of each line's prefix, with columns as _FIELDS."""
+    """A posting for each word of each line's prefix: columns as _FIELDS, then WIDE words of parity."""
     over, under = SIMILARITY
     words, place = by_rarity(sets, counts)
     owner = sets.owner
@@ -167,22 +180,29 @@ def postings(sets: Sets, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray
     kept = place < prefix[owner]
     if len(words):
         whole = np.add.reduceat((words ^ (words >> np.uint64(31))) * _MIX, sets.start)
-        bit, upper = np.uint64(1) << (words >> np.uint64(58)), (words >> np.uint64(57) & np.uint64(1)).astype(bool)
-        parity, more = (np.bitwise_xor.reduceat(np.where(upper == half, bit, np.uint64(0)), sets.start) for half in (False, True))
+        parity = [*_parity(words, sets.start, 57, 2), *_parity(words, sets.start, 20, WIDE)]
     else:
-        whole = parity = more = words
+        whole, parity = words, [words] * (2 + WIDE)
     owner = owner[kept]
-    columns = (words[kept] >> np.uint64(32), ids[sets.doc][owner], sets.line[owner], sets.size[owner], place[kept], parity[owner], more[owner], whole[owner])
-    return [c.astype(t) for c, t in zip(columns, _FIELDS.values(), strict=True)]
+    columns = (words[kept] >> np.uint64(32), ids[sets.doc][owner], sets.line[owner], sets.size[owner], place[kept], parity[0][owner], parity[1][owner], whole[owner])
+    return [*(c.astype(t) for c, t in zip(columns, _FIELDS.values(), strict=True)), *(p[owner] for p in parity[2:])]
 
 
-def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of lines under the same word, in order: (later line, earlier line or -1, whether more were left out), by index.
+def _parity(words: np.ndarray, start: np.ndarray, shift: int, parts: int) -> list[np.ndarray]:
+    """Bits of which each word of a line turns one, by its hash from bit `shift` on."""
+    part = (words >> np.uint64(shift)) % np.uint64(parts)
+    bit = np.uint64(1) << (words >> np.uint64(shift) & np.uint64(64 * parts - 1)) // np.uint64(parts)
+    return [np.bitwise_xor.reduceat(np.where(part == p, bit, np.uint64(0)), start) for p in range(parts)]
 
-    -1: the later line is the same set as an earlier one. Of lines that may be similar, the `named` earliest are given.
+
+def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of lines under the same word, in order: (line, earlier line or -1, word or -1, whether more were left out), by index.
+
+    Without an earlier line and a word, the line is the same set as an earlier one. Of lines that may be similar, the
+    `named` earliest are given. Under words where some line had more, all lines come once more with the word.
     """
     over, under = SIMILARITY
-    word, doc, line, size, place, parity, parity2, whole = columns
+    word, doc, line, size, place, parity, parity2, whole, *wide = columns
     first = np.lexsort((line, doc, whole, word))
     same = np.zeros(len(first), bool)
     same[1:] = (word[first][1:] == word[first][:-1]) & (whole[first][1:] == whole[first][:-1]) & (size[first][1:] == size[first][:-1])
@@ -190,7 +210,8 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, ..
     # A set that is the same in the same place comes from a row that is there twice.
     before = first[np.flatnonzero(same) - 1]
     copies = copies[(doc[copies] != doc[before]) | (line[copies] != line[before])]
-    yield copies, np.full(len(copies), -1), np.zeros(len(copies), bool)
+    none = np.full(len(copies), -1)
+    yield copies, none, none, none > 0
     left = first[~same]
     left = left[np.lexsort((line[left], doc[left], word[left]))]
     begins = np.ones(len(left), bool)
@@ -198,23 +219,38 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, ..
     start = np.maximum.accumulate(np.where(begins, np.arange(len(left)), 0))
     later = np.flatnonzero(~begins)
     had = np.zeros(len(left), np.int32)
+    sizes, places = size[left].astype(np.int64), place[left].astype(np.int64)
+    bits = [c[left] for c in (parity, parity2)]
     k = 0
     while len(later):
-        x, y = left[later], left[start[later] + k]
-        total = size[x].astype(np.int64) + size[y]
+        # The cheap tests come first, and what they leave goes on.
+        x, y = later, start[later] + k
+        may = under * np.minimum(sizes[x], sizes[y]) >= over * np.maximum(sizes[x], sizes[y])
+        x, y = x[may], y[may]
+        total = sizes[x] + sizes[y]
         need = -(-over * total // (over + under))
-        may = under * np.minimum(size[x], size[y]).astype(np.int64) >= over * np.maximum(size[x], size[y])
-        may &= np.minimum(place[x], place[y]) + np.minimum(size[x] - place[x], size[y] - place[y]) >= need
-        # Each word that only one of the two has changes one of 128 bits.
-        may &= np.bitwise_count(parity[x] ^ parity[y]).astype(np.int64) + np.bitwise_count(parity2[x] ^ parity2[y]) <= total - 2 * need
-        found = later[may]
-        if len(found):
-            had[found] += 1
-            full = had[found] > named
-            yield left[found], left[start[found] + k], full
+        may = np.minimum(places[x], places[y]) + np.minimum(sizes[x] - places[x], sizes[y] - places[y]) >= need
+        x, y, most = x[may], y[may], (total - 2 * need)[may]
+        # Each word that only one of the two has turns one bit.
+        may = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int64) for c in bits) <= most
+        x, y, most = x[may], y[may], most[may]
+        both = np.minimum(sizes[x], sizes[y]) > LONG
+        if both.any():
+            may = sum(np.bitwise_count(w[left[x]] ^ w[left[y]]).astype(np.int64) for w in wide) <= most
+            x, y = x[may | ~both], y[may | ~both]
+        if len(x):
+            had[x] += 1
+            few = had[x] <= named
+            none = np.full(int(few.sum()), -1)
+            yield left[x[few]], left[y[few]], none, none > 0
             later = later[had[later] <= named]
         k += 1
         later = later[start[later] + k < later]
+    more = had > named
+    crowded = np.zeros(len(left) + 1, bool)
+    crowded[start[more]] = True
+    members = np.flatnonzero(crowded[start])
+    yield left[members], np.full(len(members), -1), word[left[members]].astype(np.int64), more[members]
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,67 +280,65 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             for sets in line_sets(*text_bytes(batch.column(1))):
                 columns = postings(sets, ids, counts.value)
                 # Of copies of a set in this task, only the earliest needs to meet others.
-                whole, at, back = np.unique(columns[-1], return_index=True, return_inverse=True)
-                order = np.lexsort((columns[2], columns[1], columns[-1]))
-                firsts = order[np.searchsorted(columns[-1][order], whole)]
+                whole, at, back = np.unique(columns[_SET], return_index=True, return_inverse=True)
+                order = np.lexsort((columns[2], columns[1], columns[_SET]))
+                firsts = order[np.searchsorted(columns[_SET][order], whole)]
                 first = (columns[1] == columns[1][firsts][back]) & (columns[2] == columns[2][firsts][back])
                 gathered.append([c[first] for c in columns])
                 copy = ~first & (columns[4] == 0)
                 if copy.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(columns[1][copy][0] % spread)], pa.int32()), pa.array([_pack(columns, copy)], pa.binary()), pa.array([True])], ["bucket", "data", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(columns[1][copy][0] % spread)], pa.int32()), pa.array([_pack(columns, np.flatnonzero(copy))], pa.binary()), pa.array([True])], ["bucket", "data", "copies"])
             if sum(len(g[0]) for g in gathered) > GATHER:
                 yield out()
         if gathered:
             yield out()
 
-    def find(named: int):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows(doc, line, by_doc, by_line, more):  # noqa: ANN001, ANN202
-                return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), by_doc, by_line, pa.array(more)], ["doc", "line", "by_doc", "by_line", "more"])
-
-            def search(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-                columns = _unpack(blobs)
-                _, doc, line, *_ = columns
-                for x, y, more in meet(columns, named):
-                    known = y < 0
-                    yield rows(doc[x], line[x], pa.array(doc[y], mask=known | more), pa.array(line[y], mask=known | more), more)
-
-            now, blobs = None, []
-            for batch in batches:
-                for bucket, data, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    if copies:
-                        _, doc, line, *_ = _unpack([data])
-                        none = np.ones(len(doc), bool)
-                        yield rows(doc, line, pa.array(doc, mask=none), pa.array(line, mask=none), ~none)
-                        continue
-                    if bucket != now and blobs:
-                        yield from search(blobs)
-                        blobs = []
-                    now = bucket
-                    blobs.append(data)
-            if blobs:
-                yield from search(blobs)
-
-        return run
-
-    named = NAMED
-    while True:
-        sent = texts.mapInArrow(send, "bucket int, data binary, copies boolean")
-        dealt = sent.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
-        met = saved(dealt.mapInArrow(find(named), "doc long, line int, by_doc long, by_line int, more boolean").groupBy("doc", "line", "by_doc", "by_line").agg(F.max("more").alias("more")))
-        gone = met.filter("by_doc IS NULL AND NOT more").select("doc", "line")
-        pairs = met.filter("by_doc IS NOT NULL").join(gone, ["doc", "line"], "left_anti").select("doc", "line", "by_doc", "by_line")
-        similar = saved(verified(texts, saved(pairs)).unionByName(gone).distinct())
-        if met.filter("more").select("doc", "line").distinct().join(similar, ["doc", "line"], "left_anti").isEmpty():
-            return similar
-        named *= 8  # some line has more candidates than were named, and none of those was similar
-
-
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (doc, line, by_doc, by_line), the (doc, line) whose sets are similar enough."""
-    over, under = SIMILARITY
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_line").alias("line")))
-    wanted = ends.groupBy("doc").agg(F.collect_set("line").alias("lines")).withColumnRenamed("doc", "of")
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(doc, line, by_doc, by_line, word, more):  # noqa: ANN001, ANN202
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), by_doc, by_line, word, pa.array(more)], ["doc", "line", "by_doc", "by_line", "word", "more"])
+
+        def search(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            columns = _unpack(blobs)
+            _, doc, line, *_ = columns
+            for x, y, word, more in meet(columns, NAMED):
+                yield rows(doc[x], line[x], pa.array(doc[y], mask=y < 0), pa.array(line[y], mask=y < 0), pa.array(word, mask=word < 0), more)
+
+        now, blobs = None, []
+        for batch in batches:
+            for bucket, data, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if copies:
+                    _, doc, line, *_ = _unpack([data])
+                    none = np.ones(len(doc), bool)
+                    yield rows(doc, line, pa.array(doc, mask=none), pa.array(line, mask=none), pa.array(doc, mask=none), ~none)
+                    continue
+                if bucket != now and blobs:
+                    yield from search(blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(data)
+        if blobs:
+            yield from search(blobs)
+
+    sent = texts.mapInArrow(send, "bucket int, data binary, copies boolean")
+    dealt = sent.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
+    met = saved(dealt.mapInArrow(find, "doc long, line int, by_doc long, by_line int, word long, more boolean").distinct())
+    at = ["doc", "line"]
+    gone = met.filter("by_doc IS NULL AND word IS NULL").select(at)
+    pairs = saved(met.filter("by_doc IS NOT NULL").join(gone, at, "left_anti").select("doc", "line", "by_doc", "by_line"))
+    members = met.filter("word IS NOT NULL").select("doc", "line", "word", "more")
+    ends = pairs.select(at).unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_line").alias("line"))).unionByName(members.select(at))
+    words = saved(sets_of(texts, ends))
+    similar = saved(verified(words, pairs).unionByName(gone).distinct())
+    open_ = members.filter("more").join(similar, at, "left_anti").select("doc", "line", "word", F.lit(True).alias("open"))
+    crowds = saved(members.join(open_.select("word").distinct(), "word", "left_semi").join(open_, ["word", *at], "left").select("word", "doc", "line", F.coalesce("open", F.lit(False)).alias("open")))
+    if crowds.isEmpty():
+        return similar
+    return saved(similar.unionByName(compared(words, crowds)).distinct())
+
+
+def sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The sets of some lines (doc, line): (at, no, words)."""
+    wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("lines")).withColumnRenamed("doc", "of")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,19 +348,55 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             keys = np.sort(np.concatenate([np.int64(k) << 32 | np.array(own, np.int64) for k, own in enumerate(lines)]))
             for found in line_sets(raw, at):
                 own = found.doc.astype(np.int64) << 32 | found.line
-                at_ = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = np.flatnonzero(keys[at_] == own)
+                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == own)
                 if len(hit):
-                    words = [found.words[found.start[k] : found.start[k] + found.size[k]].view(np.int64) for k in hit]
+                    start = found.start
+                    words = [found.words[start[k] : start[k] + found.size[k]].view(np.int64) for k in hit]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[found.doc[hit]]), pa.array(found.line[hit].astype(np.int32)), pa.array(words, pa.list_(pa.int64()))], ["at", "no", "words"])
 
-    words = saved(texts.join(wanted, texts.doc == wanted.of).select("doc", "text", "lines").mapInArrow(sets, "at long, no int, words array<long>").dropDuplicates(["at", "no"]))
+    # The lists of lines are the small side; a hash of them spares the sort of all texts.
+    return texts.join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("doc", "text", "lines").mapInArrow(sets, "at long, no int, words array<long>").dropDuplicates(["at", "no"])
+
+
+def verified(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (doc, line, by_doc, by_line), the (doc, line) whose sets are similar enough."""
+    over, under = SIMILARITY
     both = pairs.join(words.select(F.col("at").alias("doc"), F.col("no").alias("line"), F.col("words").alias("x")), ["doc", "line"])
     both = both.join(words.select(F.col("at").alias("by_doc"), F.col("no").alias("by_line"), F.col("words").alias("y")), ["by_doc", "by_line"])
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common * (over + under) >= over * (F.size("x") + F.size("y"))).select("doc", "line")
 
 
+def compared(words: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Of lines (word, doc, line, open) under words that very many share, the open ones with a similar earlier line there.
+
+    Pairs are never listed: a word's lines are in one task, and each open line counts its words in the earlier ones.
+    """
+    over, under = SIMILARITY
+
+    def check(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("line").to_numpy(), table.column("doc").to_numpy()))
+        lists = table.column("words").combine_chunks().take(pa.array(order))
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        by_word = np.argsort(word, kind="stable")
+        first = np.searchsorted(word[by_word], np.arange(word.max(initial=-1) + 2))
+        starts = np.cumsum(sizes) - sizes
+        hits = []
+        for x in np.flatnonzero(table.column("open").to_numpy()[order]):
+            own = word[starts[x] : starts[x] + sizes[x]]
+            seen = np.concatenate([owner[by_word[first[w] : first[w + 1]]] for w in own])
+            common = np.bincount(seen[seen < x], minlength=1)
+            if (common * (over + under) >= over * (sizes[x] + sizes[: len(common)])).any():
+                hits.append(order[x])
+        return table.select(["doc", "line"]).take(pa.array(hits, pa.int64()))
+
+    rows = crowds.join(words, (F.col("doc") == F.col("at")) & (F.col("line") == F.col("no"))).select("word", "doc", "line", "open", "words")
+    return rows.groupBy("word").applyInArrow(check, "doc long, line int")
+
+
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text without the lines that go, the rest joined by line feeds as before; all columns and rows stay.
 
@@ -339,5 +409,5 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     named = gone.select(F.col("doc").alias("__doc"), "gone")
-    joined = docs.join(named, F.col(doc_id).cast("long") == F.col("__doc"), "left")
+    joined = docs.join(named.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col("__doc"), "left")
     return joined.select(*(clean.alias(c) if c == text else docs[c] for c in docs.columns))
