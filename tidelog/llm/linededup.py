@@ -326,18 +326,17 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     gone = met.filter("by_doc IS NULL AND word IS NULL").select(at)
     pairs = saved(met.filter("by_doc IS NOT NULL").join(gone, at, "left_anti").select("doc", "line", "by_doc", "by_line"))
     members = met.filter("word IS NOT NULL").select("doc", "line", "word", "more")
-    ends = pairs.select(at).unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_line").alias("line"))).unionByName(members.select(at))
-    words = saved(sets_of(texts, ends))
-    similar = saved(verified(words, pairs).unionByName(gone).distinct())
+    ends = pairs.select(at).unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_line").alias("line")))
+    similar = saved(verified(saved(sets_of(texts, ends)), pairs).unionByName(gone).distinct())
     open_ = members.filter("more").join(similar, at, "left_anti").select("doc", "line", "word", F.lit(True).alias("open"))
     crowds = saved(members.join(open_.select("word").distinct(), "word", "left_semi").join(open_, ["word", *at], "left").select("word", "doc", "line", F.coalesce("open", F.lit(False)).alias("open")))
     if crowds.isEmpty():
         return similar
-    return saved(similar.unionByName(compared(words, crowds)).distinct())
+    return saved(similar.unionByName(compared(sets_of(texts, crowds.select(at)), crowds)).distinct())
 
 
 def sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """The sets of some lines (doc, line): (at, no, words)."""
+    """The sets of some lines (doc, line): (at, no, words), more than once where rows share an id."""
     wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("lines")).withColumnRenamed("doc", "of")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +355,7 @@ def sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[found.doc[hit]]), pa.array(found.line[hit].astype(np.int32)), pa.array(words, pa.list_(pa.int64()))], ["at", "no", "words"])
 
     # The lists of lines are the small side; a hash of them spares the sort of all texts.
-    return texts.join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("doc", "text", "lines").mapInArrow(sets, "at long, no int, words array<long>").dropDuplicates(["at", "no"])
+    return texts.join(wanted.hint("shuffle_hash"), F.col("doc") == F.col("of")).select("doc", "text", "lines").mapInArrow(sets, "at long, no int, words array<long>")
 
 
 def verified(words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -376,7 +375,9 @@ def compared(words: DataFrame, crowds: DataFrame) -> DataFrame:
     over, under = SIMILARITY
 
     def check(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("line").to_numpy(), table.column("doc").to_numpy()))
+        line, doc = table.column("line").to_numpy(), table.column("doc").to_numpy()
+        order = np.lexsort((line, doc))
+        order = order[np.append(True, (np.diff(doc[order]) != 0) | (np.diff(line[order]) != 0))]  # each place once
         lists = table.column("words").combine_chunks().take(pa.array(order))
         sizes = np.diff(lists.offsets.to_numpy())
         _, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
