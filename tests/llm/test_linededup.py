@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidelog.llm import linededup
+from tidelog.llm import linededup, registry
 from tidelog.llm.common import table, text_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,43 @@ def test_edges_of_the_input(spark):
     want = [(1, None, "a"), (2, "", "b"), (None, "one two three four five", "c"), (3, "one two three four five", "d"), (4, "x", None), (7, long, "e"), (8, "y" * 100_000, "f"), (9, "same row of five words", "g"), (9, "same row of five words", "g")]
     assert got == sorted(want, key=str)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def slow_all(rows):
+    """As slow(), with every line that has a word."""
+    seen, out = [], {}
+    by_word = {}
+    for i, text in sorted(rows):
+        kept = []
+        for line in text.split("\n"):
+            words = frozenset(line.encode().lower().split())
+            near = {k for w in words for k in by_word.get(w, ())}
+            hit = any(5 * len(words & seen[k]) >= 4 * len(words | seen[k]) for k in near)
+            for w in words:
+                by_word.setdefault(w, []).append(len(seen))
+            seen.append(words)
+            if not hit:
+                kept.append(line)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_the_query_compares_short_lines_too(spark):
+    docs = table(spark, SF, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = slow_all(rows)
+    assert want != slow(rows)
+    assert {r.doc_id: r.text for r in registry.QUERIES["op8_lines"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("named", [1, 4])
+def test_lines_of_few_words(spark, monkeypatch, named):
+    monkeypatch.setattr(linededup, "NAMED", named)
+    random.seed(3)
+    lines = [" ".join(random.choice("abcdefg") for _ in range(random.randrange(8))) for _ in range(600)]
+    lines += ["第一章　序言", "第一章　序言", "One two three four", "four three two one five", "", "", " \t"]
+    rows = [(k, "\n".join(lines[k * 5 : k * 5 + 5])) for k in range(len(lines) // 5 + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = slow_all(rows)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs, least_words=1).collect()} == want
+    assert sum(t.count("第一章") for t in want.values()) == 1

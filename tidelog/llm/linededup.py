@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import bound_batches, saved, text_bytes, width
 
-#: A line is a set of lower-cased words. Lines of fewer words are not compared and stay.
+#: A line is a set of lower-cased words. Lines of fewer words are not compared and stay, unless the caller gives another number.
 LEAST_WORDS, SIMILARITY = 5, (4, 5)
 #: Counters of the rarity sketch.
 COUNTERS = 1 << 20
@@ -51,7 +51,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Sets:
-    """Lines with at least LEAST_WORDS distinct words: document, number in it, and the words' hashes, sorted, end to end."""
+    """Lines with enough distinct words: document, number in it, and the words' hashes, sorted, end to end."""
 
     doc: np.ndarray
     line: np.ndarray
@@ -67,8 +67,8 @@ class Sets:
         return np.cumsum(self.size) - self.size
 
 
-def line_sets(raw: np.ndarray, at: np.ndarray) -> Iterator[Sets]:
-    """The sets of all lines of whole texts, some lines at a time."""
+def line_sets(raw: np.ndarray, at: np.ndarray, least: int = LEAST_WORDS) -> Iterator[Sets]:
+    """The sets of all lines of whole texts with at least `least` distinct words, some lines at a time."""
     breaks = np.flatnonzero(raw == 10)
     ends = np.concatenate((at[1:], breaks))  # a line ends with its text or at a line feed, which may be the next text's first
     order = np.argsort(ends, kind="stable")
@@ -81,11 +81,11 @@ def line_sets(raw: np.ndarray, at: np.ndarray) -> Iterator[Sets]:
     k = 0
     while k < len(ends):
         stop = max(k + 1, int(np.searchsorted(ends, starts[k] + CHUNK, "right")))
-        yield from _sets(raw[starts[k] : ends[stop - 1]], starts[k:stop] - starts[k], doc[k:stop], number[k:stop])
+        yield from _sets(raw[starts[k] : ends[stop - 1]], starts[k:stop] - starts[k], doc[k:stop], number[k:stop], least)
         k = stop
 
 
-def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarray) -> Iterator[Sets]:
+def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarray, least: int) -> Iterator[Sets]:
     word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -109,7 +109,7 @@ def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarr
     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
     of, h = of[new], h[new]
     size = np.bincount(of, minlength=len(starts))
-    full = size >= LEAST_WORDS
+    full = size >= least
     h = h[full[of]]
     yield Sets(doc[full], number[full], h, size[full])
 
@@ -121,14 +121,14 @@ def by_rarity(sets: Sets, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sets.words[order], np.arange(len(order)) - np.repeat(sets.start, sets.size)
 
 
-def rarity(docs: DataFrame, text: str) -> np.ndarray:
+def rarity(docs: DataFrame, text: str, least: int = LEAST_WORDS) -> np.ndarray:
     """COUNTERS counts of lines by hash of their words, over all documents; a fixed number of bytes."""
     part = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for sets in line_sets(*text_bytes(batch.column(0))):
+            for sets in line_sets(*text_bytes(batch.column(0)), least):
                 counts += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         for k in range(0, COUNTERS, part):
             if counts[k : k + part].any():
@@ -253,11 +253,13 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
     yield left[members], np.full(len(members), -1), word[left[members]].astype(np.int64), more[members]
 
 
-def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The lines that go: (doc, line), line counting from 0 in its document."""
+    if least_words < 1:
+        raise ValueError("a line without words is not compared")
     spark = docs.sparkSession
     bound_batches(spark)
-    counts = spark.sparkContext.broadcast(rarity(docs, text))
+    counts = spark.sparkContext.broadcast(rarity(docs, text, least_words))
     spread = 4 * width(spark)
     texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
 
@@ -277,7 +279,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for sets in line_sets(*text_bytes(batch.column(1))):
+            for sets in line_sets(*text_bytes(batch.column(1)), least_words):
                 columns = postings(sets, ids, counts.value)
                 # Of copies of a set in this task, only the earliest needs to meet others.
                 whole, at, back = np.unique(columns[_SET], return_index=True, return_inverse=True)
@@ -327,15 +329,15 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     pairs = saved(met.filter("by_doc IS NOT NULL").join(gone, at, "left_anti").select("doc", "line", "by_doc", "by_line"))
     members = met.filter("word IS NOT NULL").select("doc", "line", "word", "more")
     ends = pairs.select(at).unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_line").alias("line")))
-    similar = saved(verified(saved(sets_of(texts, ends)), pairs).unionByName(gone).distinct())
+    similar = saved(verified(saved(sets_of(texts, ends, least_words)), pairs).unionByName(gone).distinct())
     open_ = members.filter("more").join(similar, at, "left_anti").select("doc", "line", "word", F.lit(True).alias("open"))
     crowds = saved(members.join(open_.select("word").distinct(), "word", "left_semi").join(open_, ["word", *at], "left").select("word", "doc", "line", F.coalesce("open", F.lit(False)).alias("open")))
     if crowds.isEmpty():
         return similar
-    return saved(similar.unionByName(compared(sets_of(texts, crowds.select(at)), crowds)).distinct())
+    return saved(similar.unionByName(compared(sets_of(texts, crowds.select(at), least_words), crowds)).distinct())
 
 
-def sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The sets of some lines (doc, line): (at, no, words), more than once where rows share an id."""
     wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("lines")).withColumnRenamed("doc", "of")
 
@@ -345,7 +347,7 @@ def sets_of(texts: DataFrame, lines: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             lines = batch.column(2).to_pylist()
             keys = np.sort(np.concatenate([np.int64(k) << 32 | np.array(own, np.int64) for k, own in enumerate(lines)]))
-            for found in line_sets(raw, at):
+            for found in line_sets(raw, at, least):
                 own = found.doc.astype(np.int64) << 32 | found.line
                 place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hit = np.flatnonzero(keys[place] == own)
@@ -398,14 +400,14 @@ def compared(words: DataFrame, crowds: DataFrame) -> DataFrame:
     return rows.groupBy("word").applyInArrow(check, "doc long, line int")
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with text without the lines that go, the rest joined by line feeds as before; all columns and rows stay.
 
     A text may end up empty; a null text stays null. Ids are integers and unique: rows that share an id count as one
     place, so they do not remove each other's lines. Documents without an id are neither searched nor changed.
-    Lines of fewer than LEAST_WORDS distinct words stay. An empty table gives an empty result.
+    Lines of fewer than `least_words` distinct words stay; with 1, only blank lines do. An empty table gives an empty result.
     """
-    gone = removed_lines(docs, doc_id=doc_id, text=text).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    gone = removed_lines(docs, doc_id=doc_id, text=text, least_words=least_words).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))

@@ -57,7 +57,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), least_words=1)
 
 
 @query
