@@ -3,35 +3,62 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes that one Arrow batch carries to a Python worker. Documents may be long.
+#: Rows and bytes that a Python worker takes in hand at a time. Documents may be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that long texts do not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    # What a step has shuffled is of no use once saved() has its result.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
+def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of so many rows and bytes, or of one row, so that long texts do not fill a worker."""
+    for batch in batches:
+        n = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        if batch.num_rows <= n:
+            yield batch
+            continue
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, k = np.cumsum(sizes), 0
+        while k < batch.num_rows:
+            stop = min(k + BATCH_ROWS, max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BATCH_BYTES, "right"))), batch.num_rows)
+            yield batch.slice(k, stop - k)
+            k = stop
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in as many parts as there are cores at least, so that a small file does not keep a Python stage on one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared checkpoint folder and read from there."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage: write to the shared checkpoint folder and read from there. Shuffle files of what is kept go."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelog-"))
-    return df.checkpoint()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, True)
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def width(spark: SparkSession) -> int:

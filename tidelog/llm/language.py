@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bound_batches, held_out
+from tidelog.llm.common import bounded, held_out
 
 #: Length of a profile.
 RANKS = 300
@@ -102,7 +102,6 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
     All such documents count, whole. What reaches the driver is RANKS rows for each language.
     """
-    bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: dict[str, list] = {}
@@ -111,7 +110,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             codes, counts = merged(*map(np.concatenate, zip(*gathered.pop(name), strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], ["lang", "code", "n"])
 
-        for batch in batches:
+        for batch in bounded(batches):
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = gathered.setdefault(name, [])
                 own.append(grams(body))
@@ -139,12 +138,11 @@ def identify(docs: DataFrame, profiles: Profiles, *, doc_id: str = "doc_id", tex
     give equal rows. A null id counts as the empty text for held_out. Other columns are not read. Empty in, empty out.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(profiles)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [shared.value.nearest(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bound_batches, saved, text_bytes, width
+from tidelog.llm.common import bounded, saved, text_bytes, width
 
 #: A line is a set of lower-cased words. Lines of fewer words are not compared and stay, unless the caller gives another number.
 LEAST_WORDS, SIMILARITY = 5, (4, 5)
@@ -127,7 +127,7 @@ def rarity(docs: DataFrame, text: str, least: int = LEAST_WORDS) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in bounded(batches):
             for sets in line_sets(*text_bytes(batch.column(0)), least):
                 counts += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         for k in range(0, COUNTERS, part):
@@ -258,7 +258,6 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     if least_words < 1:
         raise ValueError("a line without words is not compared")
     spark = docs.sparkSession
-    bound_batches(spark)
     counts = spark.sparkContext.broadcast(rarity(docs, text, least_words))
     spread = 4 * width(spark)
     texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -277,7 +276,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             parts = np.split(order, cuts)
             return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_pack(columns, p) for p in parts], pa.binary()), pa.array([False] * len(parts))], ["bucket", "data", "copies"])
 
-        for batch in batches:
+        for batch in bounded(batches):
             ids = batch.column(0).to_numpy()
             for sets in line_sets(*text_bytes(batch.column(1)), least_words):
                 columns = postings(sets, ids, counts.value)
@@ -306,7 +305,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 yield rows(doc[x], line[x], pa.array(doc[y], mask=y < 0), pa.array(line[y], mask=y < 0), pa.array(word, mask=word < 0), more)
 
         now, blobs = None, []
-        for batch in batches:
+        for batch in bounded(batches):
             for bucket, data, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if copies:
                     _, doc, line, *_ = _unpack([data])
@@ -342,7 +341,7 @@ def sets_of(texts: DataFrame, lines: DataFrame, least: int = LEAST_WORDS) -> Dat
     wanted = lines.groupBy("doc").agg(F.collect_set("line").alias("lines")).withColumnRenamed("doc", "of")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             raw, at = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             lines = batch.column(2).to_pylist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bound_batches
+from tidelog.llm.common import bounded
 
 #: Directions, seed of the directions, and the probability with which a neighbour must have been seen.
 DIRECTIONS, SEED, SURE = 8, 4, 0.985
@@ -133,7 +133,6 @@ def nearest(table: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "ve
     Vectors are dealt to shards by a hash of the id, and queries in blocks of bounded size go to every shard.
     """
     spark = table.sparkSession
-    bound_batches(spark)
     rows = table.filter(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD)), max(1, -(-asking // BLOCK))

@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import bound_batches
+from tidelog.llm.common import bounded
 
 SPACE = "▁"
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6  # fixed values of the model format
@@ -233,14 +233,13 @@ def encode_documents(docs: DataFrame, model: str, *, doc_id: str = "doc_id", tex
     are not read, so their names cannot clash. An empty table gives an empty result. Only the vocabulary is broadcast.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(read_pieces(model))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, model)
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids, back = zip(*map(codec.digest, texts), strict=True) if texts else ((), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bound_batches, held_out, text_bytes
+from tidelog.llm.common import bounded, held_out, text_bytes
 
 #: At about most so many labelled documents are learned from, picked by a hash of the id.
 SAMPLE = 20_000
@@ -182,14 +182,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     Which ones follows from a hash of the id alone. Null ids and labels other than 0 and 1 are passed over; an id that
     is labelled more than once counts with each label, and a document that is there more than once with each text.
     """
-    bound_batches(docs.sparkSession)
     usable = labels.filter(F.col(doc_id).isNotNull() & F.col(quality).isin(0, 1) & ~held_out(doc_id)).select(F.col(doc_id).alias("labelled"), F.col(quality).cast("double").alias("y"))
     share = min(1.0, sample / max(1, usable.count()))
     part = usable.filter(F.pmod(F.xxhash64(F.col("labelled").cast("string"), F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)))
     picked = docs.join(F.broadcast(part), F.col(doc_id) == F.col("labelled")).select("y", F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], ["y", *FEATURES])
 
@@ -206,20 +205,19 @@ def classify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     read, or, with keep, pass as they are. Empty in, empty out.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     if keep:
         at = docs.columns.index(text)
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in bounded(batches):
                 yield batch.filter(pa.array(shared.value.scores(features(batch.column(at))) >= least))
 
         return docs.mapInArrow(kept, docs.schema)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             score = shared.value.scores(features(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= least).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

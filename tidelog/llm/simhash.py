@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bound_batches, saved, text_bytes
+from tidelog.llm.common import bounded, saved, text_bytes
 from tidelog.llm.components import components
 
 #: Words of a shingle, seed of its hash, largest distance of linked fingerprints.
@@ -206,7 +206,7 @@ def links(distinct: DataFrame, total: int) -> DataFrame:
     tree = spark.sparkContext.broadcast(build(sample, total))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             x = batch.column(0).to_numpy().view(np.uint64)
             block = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
             for leaf, home, visit in route(tree.value, x):
@@ -246,11 +246,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], ["doc_id", "fp"])
 
     printed = saved(docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long"))

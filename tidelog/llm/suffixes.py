@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bound_batches, saved, text_bytes, width
+from tidelog.llm.common import bounded, saved, text_bytes, width
 
 LENGTH = 400
 #: Windows that share the choice of an anchor; what is left of a window's length is the core.
@@ -218,14 +218,14 @@ def spans(texts: DataFrame, length: int, reach: int) -> DataFrame:
     mask = (1 << BITS) - 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             raw, at = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
             for core, text, place, low, high in anchors(raw, at, length, reach):
                 yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(ids[text]), pa.array(place << 2 * BITS | low << BITS | high)], ["core", "id", "place"])
 
     def around(batches: Iterator[pa.RecordBatch], *, whole: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             bodies = batch.column(1).cast(pa.binary())
             for k, (id_, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 body = bodies[k].as_py() or b""
@@ -263,7 +263,7 @@ def spans(texts: DataFrame, length: int, reach: int) -> DataFrame:
             columns = [table.column(c).to_numpy()[hit] for c in key]
             return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(least[hit]), pa.array(most[hit])], [*key, "least", "most"])
 
-        for batch in batches:
+        for batch in bounded(batches):
             held.append(batch)
             if sum(b.num_rows for b in held) > GATHER:
                 table = pa.Table.from_batches(held)
@@ -295,7 +295,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
     mask = (1 << BITS) - 1
 
     def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows: list[tuple] = []
             for core, d1, d2, place, context in zip(*(batch.column(c).to_pylist() for c in ("core", "d1", "d2", "place", "context")), strict=True):
                 low, high = place >> BITS & mask, place & mask
@@ -309,7 +309,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (core, d1, d2, a, b)), pa.array(union, pa.binary()), *_signed(*shared), *_signed(*all_)], ["core", "d1", "d2", "a", "b", "union", "s1", "s2", "u1", "u2"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = [
                 (core, d1, d2, t, _digest(union[b - t : b - t + length]))
                 for core, d1, d2, a, b, union in zip(*(batch.column(c).to_pylist() for c in ("core", "d1", "d2", "a", "b", "union")), strict=True)
@@ -350,7 +350,6 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     are told apart by a hash of id and text, and null ids are ids. Other columns are not read. Empty in, empty out.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     body: Column = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), body).alias("id"), body.alias("text"))
@@ -358,7 +357,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     listed = covered.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("own")).withColumnRenamed("id", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             sizes, gone, runs, shas, kepts = [], [], [], [], []
             for body, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 parts = _merged(own, len(body))
