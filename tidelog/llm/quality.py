@@ -120,19 +120,35 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int = 3) -> np.ndarray:
     return step
 
 
+def _pair_cuts(g: np.ndarray, h: np.ndarray) -> tuple[float, int, list[int]]:
+    """The best tree that cuts on rows and then each side on columns: (gain, row of the cut, columns of the two cuts).
+
+    All cuts are tried together, from sums over the corners of the joint histogram: a cut of rows that explains nothing by
+    itself still counts with the best cuts of its sides. A cut at 0 leaves a side whole.
+    """
+    corner_g, corner_h = (np.pad(v.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0))) for v in (g, h))
+    gains, columns = 0.0, []
+    for sides in ((corner_g[:-1], corner_h[:-1]), (corner_g[-1:] - corner_g[:-1], corner_h[-1:] - corner_h[:-1])):
+        left_g, left_h = (v[:, :-1] for v in sides)
+        right_g, right_h = (v[:, -1:] - v[:, :-1] for v in sides)
+        gain = left_g**2 / (left_h + DAMPING) + right_g**2 / (right_h + DAMPING)
+        columns.append(gain.argmax(axis=1))
+        gains = gains + gain.max(axis=1)
+    row = int(np.argmax(gains))
+    return float(gains[row] - g.sum() ** 2 / (h.sum() + DAMPING)), row, [int(c[row]) for c in columns]
+
+
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """Cut on one feature of a pair, then each side on the other; the better order of the two."""
+    """(gain, leaf values) of the better of the trees that cut first on the one or the other feature of a pair."""
     best = (0.0, np.zeros_like(g))
     for turned in (False, True):
         a, b = (g.T, h.T) if turned else (g, h)
-        gain, at = _cut(a.sum(axis=1), b.sum(axis=1))
-        step = np.zeros_like(a)
-        for rows in (slice(0, at), slice(at, len(a))) if at else (slice(0, len(a)),):
-            more, side = _cut(a[rows].sum(axis=0), b[rows].sum(axis=0))
-            gain += more
-            for columns in (slice(0, side), slice(side, a.shape[1])):
-                step[rows, columns] = _leaf(a[rows, columns], b[rows, columns])
+        gain, row, columns = _pair_cuts(a, b)
         if gain > best[0]:
+            step = np.zeros_like(a)
+            for rows, column in zip((slice(0, row), slice(row, None)), columns, strict=True):
+                for part in (slice(0, column), slice(column, None)):
+                    step[rows, part] = _leaf(a[rows, part], b[rows, part])
             best = (gain, step.T if turned else step)
     return best
 
