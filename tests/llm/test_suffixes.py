@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,18 @@ def test_long_texts_null_ids_and_repeated_rows(spark):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_kept_bytes(spark):
+def test_kept_text(spark):
     docs = spark.createDataFrame([(1, "abc" + "0123456789" * 5), (2, "0123456789" * 5 + "def")], "doc_id long, text string")
-    assert [bytes(r.kept) for r in suffixes.remove_repeats(docs, length=40, reach=24, keep=True).orderBy("doc_id").collect()] == [b"abc", b"def"]
+    assert [r.kept_text for r in suffixes.remove_repeats(docs, length=40, reach=24, keep=True).orderBy("doc_id").collect()] == ["abc", "def"]
+
+
+def test_very_many_equal_rows(spark):
+    """Rows of one text are compared once, however many there are."""
+    random.seed(2)
+    text = " ".join(str(random.random()) for _ in range(300))
+    rows = [(k, text) for k in range(2000)] + [(2000, text[1000:1600] + "?"), (2001, "tiny"), (2002, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    got = suffixes.remove_repeats(docs).collect()
+    assert time.perf_counter() - began < 60
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans) for r in got) == {(len(text), len(text), 1): 2000, (601, 600, 1): 1, (4, 0, 0): 2}

@@ -30,7 +30,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=True)
 
 
 @query
@@ -57,7 +57,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"), least_words=1)
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
 @query

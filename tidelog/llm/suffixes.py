@@ -242,12 +242,13 @@ def spans(texts: DataFrame, length: int, reach: int) -> DataFrame:
 
     key = ["core", "d1", "d2"]
     found = saved(texts.mapInArrow(find, "core long, id long, place long"))
-    twice = found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # What is joined with a core that very many anchors have is read from a table, so that it is copied to parts of these.
+    twice = saved(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
     # Anchors with cores that are there twice, and a digest of what stands around each.
     near = saved(with_texts(found.join(twice, "core")).mapInArrow(lambda b: around(b, whole=False), "core long, d1 long, d2 long, place long, id long"))
     contexts = saved(near.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one")))
     # Cores with a context that is there once: its windows may still equal those of other contexts.
-    open_ = contexts.groupBy("core").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).filter("m > 1 AND lone > 0").select("core", "m")
+    open_ = saved(contexts.groupBy("core").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).filter("m > 1 AND lone > 0").select("core", "m"))
     asked = contexts.select("core", "one.id", "one.place").join(open_, "core")
     sizes = open_.withColumnRenamed("core", "c")
     around_one = saved(with_texts(asked).mapInArrow(lambda b: around(b, whole=True), "core long, d1 long, d2 long, place long, context binary").join(sizes, F.col("core") == F.col("c")).drop("c"))
@@ -345,32 +346,37 @@ def _merged(own: list[dict] | None, size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, reach: int = REACH, keep: bool = False) -> DataFrame:
     """Remove each byte that a string of `length` bytes covers which also starts elsewhere, in any document.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; keep adds kept, the bytes that stay.
-    A null text is empty. Rows that are there more than once are copies of each other, so all but short texts go; rows
-    are told apart by a hash of id and text, and null ids are ids. Other columns are not read. Empty in, empty out.
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; keep adds kept_text, what stays as
+    text, where a character that was cut through is U+FFFD. A null text is empty. Equal texts, of one row or many, fall
+    together first: all of their bytes are there elsewhere, so such texts go whole, short ones apart, and one of them
+    meets the others. Null ids are ids. Other columns are not read. Empty in, empty out.
     """
-    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     body: Column = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), body).alias("id"), body.alias("text"))
-    covered = spans(rows.filter(F.octet_length("text") >= length).select("id", "text"), length, reach)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(body, 256).alias("sha"), body.alias("text"))
+    # An id for each text that is there, which the checkpoint keeps.
+    texts = saved(rows.groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    covered = spans(texts.filter(F.octet_length("text") >= length).select("id", "text"), length, reach)
     listed = covered.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("own")).withColumnRenamed("id", "of")
+    names = ["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             sizes, gone, runs, shas, kepts = [], [], [], [], []
-            for body, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts = _merged(own, len(body))
+            for body, n, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                parts = [(0, len(body))] if n > 1 and len(body) >= length else _merged(own, len(body))
                 edges = [0, *(e for p in parts for e in p), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if parts else body
                 sizes.append(len(body))
                 gone.append(len(body) - len(kept))
                 runs.append(len(parts))
                 shas.append(hashlib.sha256(kept).hexdigest())
-                kepts.append(kept)
+                kepts.append(kept.decode("utf-8", "replace") if keep else None)
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, gone, runs)), pa.array(shas, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kepts, pa.binary())] if keep else columns, [*names, "kept"] if keep else names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kepts, pa.string())] if keep else columns, [*names, "kept_text"] if keep else names)
 
-    joined = rows.join(listed, rows.id == listed.of, "left").select("doc_id", "text", "own")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
+    joined = texts.join(listed, texts.id == listed.of, "left").select("sha", "text", "n", "own")
+    done = joined.mapInArrow(run, "sha string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep).withColumnRenamed("sha", "its")
+    # The digest of each row's text finds its result.
+    back = rows.select("doc_id", "sha").join(done, F.col("sha") == F.col("its"))
+    return back.select(F.col("doc_id").cast(kind), *names[1:], *["kept_text"] * keep)
