@@ -14,13 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded, saved, text_bytes, width
+from tidelog.llm.common import bounded, saved, spread, text_bytes, width
 
-#: A line is a set of lower-cased words. Lines of fewer words are not compared and stay, unless the caller gives another number.
-LEAST_WORDS, SIMILARITY = 5, (4, 5)
+#: A line is a set of lower-cased words; every line with a word takes part, unless the caller asks for more words.
+LEAST_WORDS, SIMILARITY = 1, (4, 5)
 #: Counters of the rarity sketch.
 COUNTERS = 1 << 20
 #: Bytes of text that are turned into sets at a time; only a longer line is taken as a whole.
@@ -28,6 +28,8 @@ CHUNK = 1 << 20
 
 #: Postings that a task gathers before it sends them off, and earlier lines named at first for each line and word.
 GATHER, NAMED = 1 << 20, 4
+#: Lines under a crowded word that one task compares with as many others.
+MEET = 8192
 #: Lines of more words have WIDE further words of parity in their postings.
 LONG, WIDE = 120, 4
 
@@ -110,6 +112,8 @@ def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarr
     of, h = of[new], h[new]
     size = np.bincount(of, minlength=len(starts))
     full = size >= least
+    if not full.any():
+        return
     h = h[full[of]]
     yield Sets(doc[full], number[full], h, size[full])
 
@@ -253,14 +257,21 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
     yield left[members], np.full(len(members), -1), word[left[members]].astype(np.int64), more[members]
 
 
+def place_of(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """The number that orders documents: an integer id itself, a hash of any other; without an id a hash of the text, after all others."""
+    whole = docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    own = F.col(doc_id).cast("long") if whole else F.shiftright(F.xxhash64(F.col(doc_id).cast("string")), 2)
+    return F.when(F.col(doc_id).isNotNull(), own).otherwise(F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The lines that go: (doc, line), line counting from 0 in its document."""
     if least_words < 1:
         raise ValueError("a line without words is not compared")
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(rarity(docs, text, least_words))
-    spread = 4 * width(spark)
-    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    buckets = 4 * width(spark)
+    texts = spread(docs.select(place_of(docs, doc_id, text).alias("doc"), F.col(text).alias("text")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[list[np.ndarray]] = []
@@ -270,7 +281,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             columns = [np.concatenate(c) for c in zip(*gathered, strict=True)]
             gathered.clear()
             seen.clear()
-            bucket = columns[0] % np.uint32(spread)
+            bucket = columns[0] % np.uint32(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = np.split(order, cuts)
@@ -288,7 +299,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 gathered.append([c[first] for c in columns])
                 copy = ~first & (columns[4] == 0)
                 if copy.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(columns[1][copy][0] % spread)], pa.int32()), pa.array([_pack(columns, np.flatnonzero(copy))], pa.binary()), pa.array([True])], ["bucket", "data", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(columns[1][copy][0] % buckets)], pa.int32()), pa.array([_pack(columns, np.flatnonzero(copy))], pa.binary()), pa.array([True])], ["bucket", "data", "copies"])
             if sum(len(g[0]) for g in gathered) > GATHER:
                 yield out()
         if gathered:
@@ -371,45 +382,60 @@ def verified(words: DataFrame, pairs: DataFrame) -> DataFrame:
 def compared(words: DataFrame, crowds: DataFrame) -> DataFrame:
     """Of lines (word, doc, line, open) under words that very many share, the open ones with a similar earlier line there.
 
-    Pairs are never listed: a word's lines are in one task, and each open line counts its words in the earlier ones.
+    Pairs are never listed: a word's lines are cut into blocks of about MEET lines, each block of open lines meets each block
+    of all in a task of its own, and an open line counts its words in the earlier ones.
     """
     over, under = SIMILARITY
 
     def check(table: pa.Table) -> pa.Table:
-        line, doc = table.column("line").to_numpy(), table.column("doc").to_numpy()
-        order = np.lexsort((line, doc))
-        order = order[np.append(True, (np.diff(doc[order]) != 0) | (np.diff(line[order]) != 0))]  # each place once
-        lists = table.column("words").combine_chunks().take(pa.array(order))
-        sizes = np.diff(lists.offsets.to_numpy())
+        line, doc, asks = (table.column(c).to_numpy() for c in ("line", "doc", "asks"))
+        lists = table.column("words").combine_chunks()
+        sizes, starts = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
         _, word = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        by_word = np.argsort(word, kind="stable")
-        first = np.searchsorted(word[by_word], np.arange(word.max(initial=-1) + 2))
-        starts = np.cumsum(sizes) - sizes
+        order = np.lexsort((line, doc))
+        there = order[~asks[order]]
+        there = there[np.append(True, (np.diff(doc[there]) != 0) | (np.diff(line[there]) != 0))[: len(there)]]  # each place once
+        asking = np.flatnonzero(asks)
+        both = np.concatenate((there, asking))
+        known = np.arange(len(both)) < len(there)
+        order = np.lexsort((known, line[both], doc[both]))  # a line comes before its own place
+        earlier = np.zeros(len(both), np.int64)
+        earlier[order] = np.cumsum(known[order])
+        own = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in there]) if len(there) else np.zeros(0, int)
+        owner = np.repeat(np.arange(len(there)), sizes[there])
+        by_word = np.argsort(word[own], kind="stable")
+        edge = np.searchsorted(word[own][by_word], np.arange(word.max(initial=-1) + 2))
         hits = []
-        for x in np.flatnonzero(table.column("open").to_numpy()[order]):
-            own = word[starts[x] : starts[x] + sizes[x]]
-            seen = np.concatenate([owner[by_word[first[w] : first[w + 1]]] for w in own])
-            common = np.bincount(seen[seen < x], minlength=1)
-            if (common * (over + under) >= over * (sizes[x] + sizes[: len(common)])).any():
-                hits.append(order[x])
+        for x, n in zip(asking, earlier[len(there) :], strict=True):
+            mine = word[starts[x] : starts[x] + sizes[x]]
+            seen = np.concatenate([owner[by_word[edge[w] : edge[w + 1]]] for w in mine])
+            common = np.bincount(seen[seen < n], minlength=1)[: max(n, 1)]
+            if n and (common * (over + under) >= over * (sizes[x] + sizes[there][: len(common)])).any():
+                hits.append(x)
         return table.select(["doc", "line"]).take(pa.array(hits, pa.int64()))
 
     rows = crowds.join(words, (F.col("doc") == F.col("at")) & (F.col("line") == F.col("no"))).select("word", "doc", "line", "open", "words")
-    return rows.groupBy("word").applyInArrow(check, "doc long, line int")
+    counts = saved(crowds.groupBy("word").agg(F.ceil(F.count_if("open") / MEET).alias("askers"), F.ceil(F.count("*") / MEET).alias("blocks"))).withColumnRenamed("word", "of")
+    sized = rows.join(counts, F.col("word") == F.col("of"))
+    block = lambda n: F.pmod(F.xxhash64("doc", "line"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    asking = sized.filter("open").select("word", block("askers").alias("i"), each("blocks").alias("j"), "doc", "line", F.lit(True).alias("asks"), "words")
+    there = sized.select("word", each("askers").alias("i"), block("blocks").alias("j"), "doc", "line", F.lit(False).alias("asks"), "words")
+    return asking.unionByName(there).groupBy("word", "i", "j").applyInArrow(check, "doc long, line int")
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with text without the lines that go, the rest joined by line feeds as before; all columns and rows stay.
 
-    A text may end up empty; a null text stays null. Ids are integers and unique: rows that share an id count as one
-    place, so they do not remove each other's lines. Documents without an id are neither searched nor changed.
-    Lines of fewer than `least_words` distinct words stay; with 1, only blank lines do. An empty table gives an empty result.
+    A text may end up empty; a null text stays null. Documents come in order of an integer id, or of a hash of any other;
+    those without an id come last, by a hash of the text. Rows that share an id, or have none and one text, count as
+    one place, so they do not remove each other's lines. Blank lines stay, and so do lines of fewer than `least_words`
+    distinct words. Extra columns may have any names. An empty table gives an empty result.
     """
     gone = removed_lines(docs, doc_id=doc_id, text=text, least_words=least_words).groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
-    named = gone.select(F.col("doc").alias("__doc"), "gone")
-    joined = docs.join(named.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col("__doc"), "left")
+    named = gone.select(F.col("doc").alias("__lines_doc"), F.col("gone").alias("__lines_gone"))
+    lines, marked = F.split(docs[text], "\n", -1), F.col("__lines_gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked)
+    clean = F.when(marked.isNull(), docs[text]).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+    joined = docs.join(named.hint("shuffle_hash"), place_of(docs, doc_id, text) == F.col("__lines_doc"), "left")
     return joined.select(*(clean.alias(c) if c == text else docs[c] for c in docs.columns))
