@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded, saved, text_bytes, width
+from tidelog.llm.common import bounded, saved, spread, text_bytes, width
 
 LENGTH = 400
 #: Windows that share the choice of an anchor; what is left of a window's length is the core.
@@ -212,17 +212,17 @@ def _digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-def spans(texts: DataFrame, length: int, reach: int) -> DataFrame:
-    """(id, text) -> (id, start, stop): parts of the texts that windows repeated elsewhere cover."""
-    spark = texts.sparkSession
+def spans(rows: DataFrame, length: int, reach: int) -> DataFrame:
+    """(id, text) -> (id, start, stop): parts that windows repeated elsewhere cover, of texts told apart by id; each is compared once."""
+    spark = rows.sparkSession
+    texts = rows.groupBy("id").agg(F.first("text").alias("text"))
     mask = (1 << BITS) - 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             raw, at = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
             for core, text, place, low, high in anchors(raw, at, length, reach):
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(ids[text]), pa.array(place << 2 * BITS | low << BITS | high)], ["core", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(place << 2 * BITS | low << BITS | high)], ["core", "id", "place"])
 
     def around(batches: Iterator[pa.RecordBatch], *, whole: bool) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -233,7 +233,7 @@ def spans(texts: DataFrame, length: int, reach: int) -> DataFrame:
                 low, high, where = places >> BITS & mask, places & mask, places >> 2 * BITS
                 parts = [body[a:b] for a, b in zip((where - high).tolist(), (where - low + length).tolist(), strict=True)]
                 core, place = pa.array([o["core"] for o in own], pa.int64()), pa.array(places)
-                tail = [pa.array(parts, pa.binary())] if whole else [pa.array([id_] * len(own), pa.int64())]
+                tail = [pa.array(parts, pa.binary())] if whole else [pa.array([id_] * len(own), pa.binary())]
                 yield pa.RecordBatch.from_arrays([core, *_signed(*map(_digest, parts)), place, *tail], ["core", "d1", "d2", "place", "context" if whole else "id"])
 
     def with_texts(places: DataFrame) -> DataFrame:
@@ -241,11 +241,11 @@ def spans(texts: DataFrame, length: int, reach: int) -> DataFrame:
         return texts.join(listed, texts.id == listed.of).select("id", "text", "own")
 
     key = ["core", "d1", "d2"]
-    found = saved(texts.mapInArrow(find, "core long, id long, place long"))
+    found = saved(spread(rows).mapInArrow(find, "core long, id binary, place long").distinct())
     # What is joined with a core that very many anchors have is read from a table, so that it is copied to parts of these.
     twice = saved(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
     # Anchors with cores that are there twice, and a digest of what stands around each.
-    near = saved(with_texts(found.join(twice, "core")).mapInArrow(lambda b: around(b, whole=False), "core long, d1 long, d2 long, place long, id long"))
+    near = saved(with_texts(found.join(twice, "core")).mapInArrow(lambda b: around(b, whole=False), "core long, d1 long, d2 long, place long, id binary"))
     contexts = saved(near.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one")))
     # Cores with a context that is there once: its windows may still equal those of other contexts.
     open_ = saved(contexts.groupBy("core").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).filter("m > 1 AND lone > 0").select("core", "m"))
@@ -353,18 +353,19 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     body: Column = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(body, 256).alias("sha"), body.alias("text"))
-    # An id for each text that is there, which the checkpoint keeps.
-    texts = saved(rows.groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    covered = spans(texts.filter(F.octet_length("text") >= length).select("id", "text"), length, reach)
+    same = F.unhex(F.substring(F.sha2(body, 256), 1, 32))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), same.alias("id"), body.alias("text"))
+    long = rows.filter(F.octet_length("text") >= length).select("id", "text")
+    often = long.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    covered = spans(long, length, reach).unionByName(often.select("id", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("stop")))
     listed = covered.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("own")).withColumnRenamed("id", "of")
-    names = ["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             sizes, gone, runs, shas, kepts = [], [], [], [], []
-            for body, n, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                parts = [(0, len(body))] if n > 1 and len(body) >= length else _merged(own, len(body))
+            for body, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts = _merged(own, len(body))
                 edges = [0, *(e for p in parts for e in p), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if parts else body
                 sizes.append(len(body))
@@ -375,8 +376,5 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, gone, runs)), pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kepts, pa.string())] if keep else columns, [*names, "kept_text"] if keep else names)
 
-    joined = texts.join(listed, texts.id == listed.of, "left").select("sha", "text", "n", "own")
-    done = joined.mapInArrow(run, "sha string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep).withColumnRenamed("sha", "its")
-    # The digest of each row's text finds its result.
-    back = rows.select("doc_id", "sha").join(done, F.col("sha") == F.col("its"))
-    return back.select(F.col("doc_id").cast(kind), *names[1:], *["kept_text"] * keep)
+    joined = rows.join(listed, rows.id == listed.of, "left").select("doc_id", "text", "own")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep)
