@@ -44,6 +44,8 @@ def test_ties_nan_and_empty_sources(spark):
     assert run(spark, [1.0, 1.0, 2.0], [5.0, 6.0, 9.0], [0, 1, 1.5], discrete=False)[0] == np.interp([0, 1, 1.5], [1, 1, 2], [5, 6, 9]).tolist()
     assert run(spark, [1.0, 2.0], [5.0, 6.0], [math.nan], discrete=True)[0] == [6.0]
     assert math.isnan(run(spark, [1.0, 2.0], [5.0, 6.0], [math.nan], discrete=False)[0][0])
+    beyond = [math.nan, math.inf, -math.inf, 1e300, -1e300]
+    assert run(spark, [1.0, 250.0], [5.0, 99.0], beyond, discrete=True, bucket=10.0)[0] == [99.0, 99.0, 5.0, 99.0, 5.0]
     with pytest.raises(ValueError):
         run(spark, [], [], [1.0], discrete=True)
 
@@ -54,11 +56,12 @@ def test_same_as_numpy(spark, data):
     number = st.floats(-1e6, 1e6, allow_nan=False)
     xs = sorted(data.draw(st.lists(number, min_size=1, max_size=20, unique=True)))
     vs = data.draw(st.lists(number, min_size=len(xs), max_size=len(xs)))
-    targets = data.draw(st.lists(number, max_size=20)) + xs
-    linear = run(spark, xs, vs, targets, discrete=False, bucket=1e5)[0]
-    assert np.allclose(linear, np.interp(targets, xs, vs), rtol=1e-9, atol=1e-9)
+    targets = data.draw(st.lists(number | st.just(math.nan) if len(xs) > 1 else number, max_size=20)) + xs
+    bucket = data.draw(st.sampled_from([None, 1e3, 1e5, 1e7]))
+    linear = run(spark, xs, vs, targets, discrete=False, bucket=bucket)[0]
+    assert np.allclose(linear, np.interp(targets, xs, vs), rtol=1e-9, atol=1e-9, equal_nan=True)
     places = np.clip(np.searchsorted(xs, targets, side="right") - 1, 0, len(xs) - 1)
-    assert run(spark, xs, vs, targets, discrete=True, bucket=1e5)[0] == np.array(vs)[places].tolist()
+    assert run(spark, xs, vs, targets, discrete=True, bucket=bucket)[0] == np.array(vs)[places].tolist()
 
 
 def test_partition_counts_do_not_matter(spark):

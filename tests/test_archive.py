@@ -43,9 +43,11 @@ def test_round_trip(spark, rows):
 def test_payload_types(spark):
     rows = spark.createDataFrame([([True, False, True], [1, 257, -1], [0.5])], "b array<boolean>, i array<long>, f array<double>")
     assert bytes(rows.select(codec.payload_bytes(rows, "b")).first()[0]) == b"\1\0\1"
-    assert bytes(rows.select(codec.payload_bytes(rows, "i")).first()[0]) == b"\1\1\xff"
+    assert bytes(rows.select(codec.payload_bytes(rows, "i", narrow=True)).first()[0]) == b"\1\1\xff"
     with pytest.raises(TypeError):
-        codec.payload_bytes(rows, "f")
+        codec.payload_bytes(rows, "f", narrow=True)
+    with pytest.raises(TypeError):
+        codec.payload_bytes(rows, "i")
     with pytest.raises(Exception, match="between 0 and 255"):
         codec.with_wire(packages(spark, [(256, 1, b"")])).collect()
 

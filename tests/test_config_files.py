@@ -117,24 +117,45 @@ def test_transfer(spark, tree, tmp_path):
     transfer_directory(spark, str(tree), str(out), verify_integrity=True)
     assert (out / "sub/deep/c.txt").read_text() == "sub/deep/c.txt" and (out / ".hid").exists()
     (out / "more.txt").write_text("x")
-    with pytest.raises(ValueError, match="holds files"):
+    (out / "empty").mkdir()
+    kept = (out / ".hid").stat().st_ino
+    with pytest.raises(RuntimeError, match="holds files"):
         transfer_directory(spark, str(tree), str(out))
     (tree / "a.txt").write_text("changed")
     with pytest.raises(RuntimeError, match="out of date"):
         transfer_directory(spark, str(tree), str(out), verify_integrity=True, reset_dirty_destination=True, remove_source=True)
     assert tree.exists() and not (out / "more.txt").exists()
+    assert (out / "empty").is_dir() and (out / ".hid").stat().st_ino == kept
     (tree / integrity.CHECKSUM_FILE).unlink()
     transfer_directory(spark, str(tree), str(out), verify_integrity=True, remove_source=True)
     assert not tree.exists()
     with pytest.raises(FileNotFoundError):
         transfer_directory(spark, str(tree), str(out))
     (out / "link").symlink_to(out)
-    with pytest.raises(ValueError, match="links"):
+    with pytest.raises(RuntimeError, match="links"):
         transfer_directory(spark, str(out), str(tree))
     assert not tree.exists()
     assert delete_directory(str(out)) and delete_directory(str(out))
 
 
+def test_transfers_that_are_refused(spark, tmp_path):
+    source, out = tmp_path / "source", tmp_path / "out"
+    source.mkdir()
+    (source / integrity.CHECKSUM_FILE).write_text("00")
+    with pytest.raises(RuntimeError, match="no files"):
+        transfer_directory(spark, str(source), str(out), verify_integrity=True)
+    assert not out.exists()
+    (tmp_path / "link").symlink_to(source)
+    with pytest.raises(RuntimeError, match="link"):
+        transfer_directory(spark, str(tmp_path / "link"), str(out))
+    (source / "a").write_text("a")
+    (source / integrity.CHECKSUM_FILE).unlink()
+    digest = integrity.directory_checksum(spark, str(source))
+    (source / integrity.CHECKSUM_FILE).write_text(digest + "\n")
+    transfer_directory(spark, str(source), str(out), verify_integrity=True)
+    assert delete_directory(str(tmp_path / "link")) and source.is_dir() and not (tmp_path / "link").is_symlink()
+
+
 def test_arrays(spark):
     a = arrays.SharedArray.create(spark, "numbers", np.array([[1, 2, 3], [4, 5, 6]], np.int32))
     assert a[0].tolist() == [1, 2, 3] and a[-1:].tolist() == [[4, 5, 6]]

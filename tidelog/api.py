@@ -16,17 +16,25 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codec
 from tidelog.operators import align, archive, discovery, integrity, transfer
+from tidelog.operators.archive import LEAST_SPLIT as PARALLEL_PROCESSING_THRESHOLD
 from tidelog.operators.archive import discover_log_archives, find_log_archive
+from tidelog.operators.arrays import SharedArray as SharedMemoryArray
+from tidelog.operators.config import EXCLUDE as YAML_EXCLUDE_METADATA
 from tidelog.operators.config import YamlConfig
-from tidelog.operators.tracker import ProcessingTracker, resolve_status
+from tidelog.operators.tracker import JobState, ProcessingTracker, resolve_status
 from tidelog.operators.tracker import Label as TrackerStatus
 from tidelog.operators.tracker import Status as ProcessingStatus
 from tidelog.operators.transfer import delete_directory
 from tidelog.runtime import initialize_worker_threads, limit_worker_threads
 from tidelog.schema import PACKAGE
+from tidelog.streaming.ingest import DataLogger
+
+#: Ends of the names of a log's directory and of an archive. Fixed values.
+LOG_DIRECTORY_SUFFIX, LOG_ARCHIVE_SUFFIX = "_data_log", "_log.npz"
 
 __all__ = [
-    "LogArchiveReader", "LogMessage", "LogPackage", "ProcessingStatus", "ProcessingTracker", "TrackerStatus", "YamlConfig",
+    "LOG_ARCHIVE_SUFFIX", "LOG_DIRECTORY_SUFFIX", "PARALLEL_PROCESSING_THRESHOLD", "YAML_EXCLUDE_METADATA",
+    "DataLogger", "JobState", "LogArchiveReader", "LogMessage", "LogPackage", "ProcessingStatus", "ProcessingTracker", "SharedMemoryArray", "TrackerStatus", "YamlConfig",
     "assemble_log_archives", "calculate_directory_checksum", "delete_directory", "discover_log_archives", "discover_marker_files",
     "discover_marker_roots", "find_log_archive", "initialize_worker_threads", "interpolate_data", "limit_worker_threads",
     "read_archive_message_count", "resolve_status", "resolve_unique_roots", "session", "transfer_directory", "walk_directory", "walk_files",
@@ -146,6 +154,10 @@ def assemble_log_archives(log_directory: str, *, remove_sources: bool = True, ve
     return archive.assemble_log_archives(session(), str(log_directory), remove_sources=remove_sources, verify_integrity=verify_integrity)
 
 
+#: Coordinates of a series that one task aligns.
+SERIES = 100_000
+
+
 def interpolate_data(source_coordinates: np.ndarray, source_values: np.ndarray, target_coordinates: np.ndarray, *, is_discrete: bool) -> np.ndarray:
     """One series of arrays, in order of the targets: the source's type when discrete, else float64."""
     if not len(source_coordinates) or not len(source_values):
@@ -153,7 +165,10 @@ def interpolate_data(source_coordinates: np.ndarray, source_values: np.ndarray,
     spark = session()
     source = spark.createDataFrame([(0, float(x), v, i) for i, (x, v) in enumerate(zip(source_coordinates.tolist(), source_values.tolist(), strict=True))], "k int, x double, v " + ("double" if source_values.dtype.kind == "f" else "boolean" if source_values.dtype.kind == "b" else "long") + ", i long")
     targets = spark.createDataFrame([(0, float(x), i) for i, x in enumerate(np.asarray(target_coordinates).tolist())], "k int, x double, n long")
-    rows = align.interpolate(source, targets, key="k", discrete=is_discrete, order="i", check=False).orderBy("n").collect()
+    # A long series is cut into buckets of about SERIES coordinates.
+    reach = float(np.ptp(source_coordinates.astype(float))) if len(source_coordinates) > SERIES else 0.0
+    bucket = reach * SERIES / len(source_coordinates) or None
+    rows = align.interpolate(source, targets, key="k", discrete=is_discrete, order="i", check=False, bucket=bucket).orderBy("n").collect()
     return np.array([r["v"] for r in rows], source_values.dtype if is_discrete else np.float64)
 
 

@@ -51,13 +51,13 @@ def payload_of(data: Column) -> Column:
     return F.substring(data, HEADER_BYTES + 1, 2**31 - 1)
 
 
-def payload_bytes(df: DataFrame, column: str) -> Column:
-    """Bytes of an array column: booleans as 0 and 1, integers modulo 256. TypeError for anything else, before any run."""
+def payload_bytes(df: DataFrame, column: str, *, narrow: bool = False) -> Column:
+    """Bytes of an array of booleans as 0 and 1; with `narrow`, of integers modulo 256. TypeError for anything else, before any run."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.BinaryType):
         return F.col(column)
-    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, (T.BooleanType, T.ShortType, T.IntegerType, T.LongType)):
-        raise TypeError(f"a payload must be binary, or an array of booleans or integers, not {kind.simpleString()}")
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, (T.BooleanType, *((T.ShortType, T.IntegerType, T.LongType) if narrow else ()))):
+        raise TypeError(f"a payload must be binary or an array of booleans, or of integers that may be narrowed, not {kind.simpleString()}")
     return F.unhex(F.array_join(F.transform(column, lambda v: F.lpad(F.hex(F.pmod(v.cast("long"), F.lit(256))), 2, "0")), ""))
 
 

@@ -19,7 +19,7 @@ def interpolate(source: DataFrame, targets: DataFrame, *, key: str, x: str = "x"
     if check and source.isEmpty():
         raise ValueError("the source series is empty")
     kind = source.schema[v].dataType
-    at = F.floor(F.col(x) / bucket).cast("long") if bucket else F.lit(0).cast("long")
+    at = _bucket(F.col(x).cast("double") / bucket) if bucket else F.lit(0).cast("long")
     nothing = F.lit(None)
     point = F.struct(F.col(x).alias("x"), F.col(v).alias("v"))
     ours = source.filter(F.col(x).isNotNull()).select(F.col(key).alias("__k"), at.alias("__b"), F.col(x).alias("__x"), point.alias("__p"), (F.col(order) if order else F.lit(0)).cast("long").alias("__o"), nothing.alias("__row"))
@@ -42,6 +42,12 @@ def interpolate(source: DataFrame, targets: DataFrame, *, key: str, x: str = "x"
     return met.select("__row.*", value.cast(kind if discrete else "double").alias(v))
 
 
+def _bucket(ratio: Column) -> Column:
+    """The bucket of a coordinate; what is past all numbers, NaN too, is in the greatest."""
+    edge = 1 << 62
+    return F.when(F.isnan(ratio) | (ratio >= edge), edge).when(ratio <= -edge, -edge).otherwise(F.floor(F.when(F.abs(ratio) < edge, ratio))).cast("long")
+
+
 def _discrete() -> Column:
     return F.coalesce("__low.v", "__high.v")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import codec
 from tidelog.sources import register
 from tidelog.sources.npz import ArchiveWriter
+from tidelog.sources.tree import walk
 
 #: Entries below which reading is not split, and how many batches each worker gets.
 LEAST_SPLIT, BATCHES_PER_WORKER = 2000, 4
@@ -96,6 +98,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("npzlog").load(path)
 
 
+def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
+    """The members of several archives."""
+    register(spark)
+    return spark.read.format("npzlog").option("paths", json.dumps(archives)).load(os.path.dirname(archives[0]) if archives else ".")
+
+
 def as_packages(wire: DataFrame) -> DataFrame:
     """Entries as stored, with their payload decoded."""
     data: Column = F.col("data")
@@ -118,11 +126,10 @@ def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sou
     ordered = entries.repartition("source_id").sortWithinPartitions("source_id", "acquisition_time")
     written = sorted(row["archive"] for row in ordered.mapInPandas(run, "archive string").collect())
     if verify_integrity:
-        for archive in written:
-            members = read_archive(spark, archive)
-            own = entries.join(F.broadcast(members.select("source_id").limit(1)), "source_id", "left_semi")
-            if not mismatches(own, members, "data").isEmpty():
-                raise ValueError(f"{archive} differs from the entries it was made of")
+        members = read_archives(spark, written)
+        bad = mismatches(entries, members, "data").select("source_id").first()
+        if bad is not None:
+            raise ValueError(f"the archive of source {bad['source_id']} in {log_directory} differs from the entries it was made of")
     if remove_sources and written:
 
         def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +147,7 @@ def find_log_archive(log_directory: str, source_id: str) -> str:
     if not os.path.isdir(log_directory):
         raise FileNotFoundError(log_directory)
     name = f"{source_id}_log.npz"
-    found = sorted(os.path.join(top, name) for top, _, files in os.walk(log_directory) if name in files)
+    found = sorted(path for path, _, own, _, kind, *_ in walk(log_directory) if own == name and kind == "file")
     if not found:
         raise FileNotFoundError(f"no {name} in {log_directory}")
     if len(found) > 1:
@@ -157,4 +164,8 @@ def discover_log_archives(log_directory: str) -> dict[str, str]:
 
 def archive_message_count(spark: SparkSession, path: str) -> int:
     """Members of an archive that are not onsets, from the names alone."""
-    return read_archive(spark, path).select("entry_key").filter(~F.col("entry_key").endswith("_" + "0" * 20)).count()
+    register(spark)
+    if not os.path.isfile(path):
+        raise FileNotFoundError(path)
+    names = spark.read.format("npzlog").option("names_only", "true").load(path)
+    return names.filter(~F.col("entry_key").endswith("_" + "0" * 20)).count()

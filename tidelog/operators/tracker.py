@@ -5,6 +5,7 @@ from __future__ import annotations
 import fcntl
 import os
 import time
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.digest import job_id
 from tidelog.operators.config import YamlConfig
 from tidelog.schema import JOB
+from tidelog.sources.tree import walk
 
 LOCK_SECONDS = 10
 
@@ -39,21 +41,25 @@ class Label(StrEnum):
     FAILED = "failed"
 
 
-#: Environment variables that name the job of a cluster's scheduler, in order, with the prefix of the id. Fixed values.
+#: Environment variables that name the job of a cluster's scheduler, in order: the prefix of the id, the variable, and one
+#: that must be there beside it. Fixed values.
 SCHEDULERS = (
-    ("SLURM_JOB_ID", "slurm"),
-    ("PBS_JOBID", "pbs"),
-    ("LSB_JOBID", "lsf"),
-    ("OAR_JOB_ID", "oar"),
-    ("JOB_ID", "sge"),
-    ("CCP_JOBID", "hpcpack"),
-    ("AZ_BATCH_JOB_ID", "azurebatch"),
-    ("AWS_BATCH_JOB_ID", "awsbatch"),
+    ("slurm", "SLURM_JOB_ID", None),
+    ("slurm", "SLURM_JOBID", None),
+    ("pbs", "PBS_JOBID", None),
+    ("lsf", "LSB_JOBID", None),
+    ("oar", "OAR_JOB_ID", None),
+    ("sge", "JOB_ID", "SGE_ROOT"),
+    ("hpcpack", "CCP_JOBID", None),
+    ("azurebatch", "AZ_BATCH_JOB_ID", None),
+    ("awsbatch", "AWS_BATCH_JOB_ID", None),
 )
 
 
 def executor_id() -> str:
-    return next((f"{prefix}:{os.environ[name]}" for name, prefix in SCHEDULERS if os.environ.get(name)), f"pid:{os.getpid()}")
+    """scheduler:job of the first scheduler that the environment names, or pid:process."""
+    named = (f"{prefix}:{os.environ[name]}" for prefix, name, beside in SCHEDULERS if os.environ.get(name) and (beside is None or beside in os.environ))
+    return next(named, f"pid:{os.getpid()}")
 
 
 # --- Registries as DataFrames with the columns of JOB ---
@@ -203,8 +209,8 @@ class ProcessingTracker:
 
     @classmethod
     def discover(cls, root: str, name: str) -> list[ProcessingTracker]:
-        """The registries with this file name below a directory, in order of path."""
-        return [cls(os.path.join(top, name)) for top in sorted(t for t, _, files in os.walk(root) if name in files)]
+        """The registries with this file name below a directory, in order of path. A directory that can't be read is an error."""
+        return [cls(path) for path, _, own, _, kind, *_ in sorted(walk(root)) if own == name and kind == "file"]
 
     @contextmanager
     def _locked(self, *, write: bool) -> Iterator[dict[str, JobState]]:
@@ -234,6 +240,8 @@ class ProcessingTracker:
         """Add jobs that are not there; the ids of all that were given."""
         with self._locked(write=True) as known:
             for id_, job in zip(self._ids(jobs), jobs, strict=True):
+                if id_ in known:
+                    warnings.warn(f"the job {':'.join(job)} ({id_}) is there already and stays as it is", stacklevel=3)
                 known.setdefault(id_, JobState(*job))
         return self._ids(jobs)
 
@@ -243,7 +251,10 @@ class ProcessingTracker:
         if not wanted or not set(wanted) <= all_:
             raise ValueError("jobs must be given, and be in the universe")
         with self._locked(write=True) as known:
-            for id_ in [i for i in known if i not in all_]:
+            gone = sorted(set(known) - all_)
+            if gone:
+                warnings.warn(f"{self.file_path} lets go of jobs outside the universe: {gone}", stacklevel=3)
+            for id_ in gone:
                 del known[id_]
             for id_, job in zip(wanted, jobs, strict=True):
                 known.setdefault(id_, JobState(*job))

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, and their SQL twins."""
 
-from tidelog.plans import alignment, arrays, entries, files, jobs
+from tidelog.plans import alignment, arrays, entries, files, jobs, storage
 from tidelog.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "arrays", "entries", "files", "jobs"]
+__all__ = ["ORACLE_SQL", "QUERIES", "alignment", "arrays", "entries", "files", "jobs", "storage"]

@@ -130,4 +130,4 @@ def archive_verify_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, upper(printf('%02x', event_id % 256) || printf('%02x', (event_id * 7) % 256) || printf('%02x', (user_id + 300) % 256)) AS payload FROM events")
 def payload_narrow_mod256(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.array("event_id", F.col("event_id") * 7, F.col("user_id") + 300).alias("payload"))
-    return rows.select("event_id", F.hex(codec.payload_bytes(rows, "payload")).alias("payload"))
+    return rows.select("event_id", F.hex(codec.payload_bytes(rows, "payload", narrow=True)).alias("payload"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import zipfile
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ PART = 4096
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, names: list[str]) -> None:
-        self.path, self.names = path, names
+    def __init__(self, path: str, names: list[str], only: bool = False) -> None:
+        self.path, self.names, self.only = path, names, only
 
 
 def _row(stem: str, data: np.ndarray) -> tuple:
@@ -29,35 +30,40 @@ def _row(stem: str, data: np.ndarray) -> tuple:
     return int(source), Decimal(time), stem, data.tobytes()
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def _parts(path: str, names: list[str], only: bool = False) -> list[Part]:
+    return [Part(path, names[k : k + PART], only) for k in range(0, len(names), PART)] or [Part(path, [])]
 
-    def names(self) -> list[str]:
-        raise NotImplementedError
-
-    def partitions(self) -> list[Part]:
-        names = self.names()
-        return [Part(self.path, names[k : k + PART]) for k in range(0, len(names), PART)] or [Part(self.path, [])]
 
+class EntryReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path = options["path"]
 
-class EntryReader(_Reader):
-    def names(self) -> list[str]:
-        return sorted(e.name for e in os.scandir(self.path) if e.name.endswith(".npy") and e.is_file())
+    def partitions(self) -> list[Part]:
+        return _parts(self.path, sorted(e.name for e in os.scandir(self.path) if e.name.endswith(".npy") and e.is_file()))
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for name in partition.names:
             yield _row(name[:-4], np.load(os.path.join(partition.path, name), allow_pickle=False))
 
 
-class MemberReader(_Reader):
-    def names(self) -> list[str]:
-        with zipfile.ZipFile(self.path) as archive:
-            return archive.namelist()
+class MemberReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.archives = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.only = options.get("names_only", "false").lower() == "true"
+
+    def partitions(self) -> list[Part]:
+        out = []
+        for path in self.archives:
+            with zipfile.ZipFile(path) as archive:
+                out += _parts(path, archive.namelist(), self.only)
+        return out
 
     def read(self, partition: Part) -> Iterator[tuple]:
         if not partition.names:
             return
+        if partition.only:
+            yield from (_row(name.removesuffix(".npy"), np.zeros(0, np.uint8)) for name in partition.names)
+            return
         with zipfile.ZipFile(partition.path) as archive:
             for name in partition.names:
                 with archive.open(name) as member:
@@ -77,11 +83,11 @@ class EntrySource(DataSource):
         return WIRE
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return self.reader_type(self.options["path"])
+        return self.reader_type(self.options)
 
 
 class MemberSource(EntrySource):
-    """format("npzlog"): the members of one archive."""
+    """format("npzlog"): the members of one archive, or of those in the option `paths`, a JSON list; `names_only` reads no data."""
 
     reader_type = MemberReader
 
