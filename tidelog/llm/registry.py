@@ -71,7 +71,7 @@ ORACLE_SQL["op9_mixing"] = mixing.ORACLE_SQL
 @query
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    verdicts = urlfilter.evaluate(urlfilter.derived_captures(pages), urlfilter.derived_entries(pages), columns=("page_id",))
+    verdicts = urlfilter.evaluate(urlfilter.derived_captures(pages), urlfilter.derived_entries(pages), columns=("page_id",), bucket=30)
     return verdicts.fillna({"matched": "", "since": -1})
 
 

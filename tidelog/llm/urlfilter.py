@@ -1,8 +1,10 @@
 """URL filters by a temporal list join.
 
 Dated entries of lists, which put a key on a list or take it off, become validity intervals. A
-capture is looked up under each key that covers its URL, as of the time of its fetch. Everything is
-DataFrame functions; a salt spreads the captures of a hot host.
+capture is looked up under each key that covers its URL, as of the time of its fetch: intervals and
+lookups are in one order of key and time, and each lookup takes the last interval that began before it.
+Everything is DataFrame functions. Captures of one key and time share a lookup, and the lookups of a hot
+host are cut into buckets of time.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that the captures of a key are dealt to; the intervals are copied to each.
-SALT = 8
-URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
+from tidelog.operators.align import interpolate
+
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^]/?#]*]|[^/?#:]*)(?::[0-9]*)?([^?#]*)"
+#: Hosts that are addresses have no domains above them.
+ADDRESS = r"^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
 
 def host_of(url: Column) -> Column:
@@ -26,11 +30,12 @@ def path_parts(url: Column) -> Column:
 def keys(url: Column) -> Column:
     """The keys that cover a URL: its host and the domains above it of two labels at least, and the host with each start of its path.
 
-    The host is in lower case, without user, port and a dot at the end. A URL without a host has no keys.
+    The host is in lower case, without user, port and a dot at the end. An IPv4 address and one in brackets have no domains
+    above them. A URL without a host has no keys.
     """
     host = F.regexp_replace(host_of(url), r"\.$", "")
     labels, parts = F.split(host, r"\.", -1), path_parts(url)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.when(F.rlike(host, F.lit(ADDRESS)), 1).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(domains, paths))).otherwise(F.array().cast("array<string>"))
 
@@ -47,19 +52,23 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("until", F.lead("at").over(after)).filter("listed").select("key", F.col("at").alias("since"), "until")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: str = "fetched", columns: tuple[str, ...] = ()) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: str = "fetched", columns: tuple[str, ...] = (), bucket: float | None = None) -> DataFrame:
     """captures with blocked, matched (the first key in order that was active at the fetch) and since (of its interval).
 
     Of captures, url, fetched and `columns` are returned; others are not read. A capture without a URL, a host or a time is
-    not blocked. Rows that are there more than once give as many rows. Keys compare in lower case.
+    not blocked. Rows that are there more than once give as many rows. Keys compare in lower case. Times are numbers, or
+    timestamps of one kind; `bucket` is a width of time that cuts the lookups of a key.
     """
     rows = captures.select(F.col(url).alias("url"), F.col(at).alias("fetched"), *columns)
     asked = rows.select("url", "fetched").filter("url IS NOT NULL AND fetched IS NOT NULL").distinct()
     exploded = asked.select("url", "fetched", F.explode(keys(F.col("url"))).alias("key")).withColumn("key", F.lower("key"))
-    salted = exploded.withColumn("salt", F.pmod(F.xxhash64("url", "fetched"), F.lit(SALT)).cast("int"))
-    listed = intervals(entries).select(F.col("key").alias("of"), "since", "until", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
-    active = (F.col("key") == F.col("of")) & (F.col("salt") == F.col("part")) & (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    hits = salted.join(listed, active).groupBy("url", "fetched").agg(F.min(F.struct("key", "since")).alias("hit"))
+    begins = intervals(entries).select("key", F.col("since").alias("x"), F.struct("since", "until").alias("v"))
+    lookups = exploded.select("key", F.col("fetched").alias("x")).distinct()
+    # A lookup before the first interval gets that one, which has not begun.
+    last = interpolate(begins, lookups, key="key", discrete=True, bucket=bucket, check=False)
+    active = last.filter((F.col("v.since") <= F.col("x")) & (F.col("v.until").isNull() | (F.col("x") < F.col("v.until"))))
+    active = active.select(F.col("key").alias("of"), F.col("x").alias("as_of"), F.col("v.since").alias("since"))
+    hits = exploded.join(active, (F.col("key") == F.col("of")) & (F.col("fetched") == F.col("as_of"))).groupBy("url", "fetched").agg(F.min(F.struct("key", "since")).alias("hit"))
     found = hits.select(F.col("url").alias("u"), F.col("fetched").alias("t"), "hit")
     return rows.join(found, (F.col("url") == F.col("u")) & (F.col("fetched") == F.col("t")), "left").select(
         *columns, "url", "fetched", F.col("hit").isNotNull().alias("blocked"), F.col("hit.key").alias("matched"), F.col("hit.since").alias("since")
@@ -89,8 +98,8 @@ def derived_entries(pages: DataFrame) -> DataFrame:
 ORACLE_SQL = r"""
 WITH parsed AS (
   SELECT page_id, url, ('0x' || substr(md5('fetch' || page_id::VARCHAR), 1, 8))::BIGINT % 365 AS fetched,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)) AS host,
-         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 2), '/'), lambda p: p <> '') AS parts
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^]/?#]*]|[^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^]/?#]*]|[^/?#:]*)(?::[0-9]*)?([^?#]*)', 2), '/'), lambda p: p <> '') AS parts
   FROM pages
 ), dated AS (
   SELECT key, ('0x' || substr(md5('list' || key), 1, 8))::BIGINT AS n
@@ -105,7 +114,7 @@ WITH parsed AS (
         WHERE n % (CASE WHEN contains(key, '/') THEN 4 ELSE 3 END) = 0 GROUP BY ALL)
 ), covered AS (
   SELECT page_id, url, fetched, unnest(list_concat(
-    list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda k: array_to_string(string_split(host, '.')[k:], '.')),
+    list_transform(range(1, CASE WHEN regexp_matches(host, '^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END), lambda k: array_to_string(string_split(host, '.')[k:], '.')),
     list_transform(range(1, len(parts) + 1), lambda k: host || '/' || array_to_string(parts[1:k], '/')))) AS key
   FROM parsed WHERE host <> ''
 ), hits AS (
