@@ -56,7 +56,7 @@ def saved(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, True)
     try:
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a plan made under the setting
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
