@@ -101,7 +101,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
     """The members of several archives."""
     register(spark)
-    return spark.read.format("npzlog").option("paths", json.dumps(archives)).load(os.path.dirname(archives[0]) if archives else ".")
+    return spark.read.format("npzlog").option("archives", json.dumps(archives)).load(os.path.dirname(archives[0]) if archives else ".")
 
 
 def as_packages(wire: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ class EntryReader(DataSourceReader):
 
 class MemberReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.archives = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.archives = json.loads(options["archives"]) if "archives" in options else [options["path"]]
         self.only = options.get("names_only", "false").lower() == "true"
 
     def partitions(self) -> list[Part]:
@@ -87,7 +87,7 @@ class EntrySource(DataSource):
 
 
 class MemberSource(EntrySource):
-    """format("npzlog"): the members of one archive, or of those in the option `paths`, a JSON list; `names_only` reads no data."""
+    """format("npzlog"): the members of one archive, or of those in the option `archives`, a JSON list; `names_only` reads no data."""
 
     reader_type = MemberReader
 
