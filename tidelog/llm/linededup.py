@@ -434,8 +434,12 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     gone = removed_lines(docs, doc_id=doc_id, text=text, least_words=least_words).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     named = gone.select(F.col("doc").alias("__lines_doc"), F.col("gone").alias("__lines_gone"))
-    lines, marked = F.split(docs[text], "\n", -1), F.col("__lines_gone")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked)
-    clean = F.when(marked.isNull(), docs[text]).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+    marked = F.col("__lines_gone")
+
+    def without(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), marked), lambda k: F.get(lines, k)), "\n")
+
+    # As an element of an array a text's lines are split once, and not anew for each line that stays.
+    clean = F.when(marked.isNull(), docs[text]).otherwise(F.get(F.transform(F.array(F.split(docs[text], "\n", -1)), without), F.lit(0)))
     joined = docs.join(named.hint("shuffle_hash"), place_of(docs, doc_id, text) == F.col("__lines_doc"), "left")
     return joined.select(*(clean.alias(c) if c == text else docs[c] for c in docs.columns))
