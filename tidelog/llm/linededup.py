@@ -35,11 +35,15 @@ LONG, WIDE = 120, 4
 
 #: What a posting says: the word, where the line is, its size, the word's place, parity and hash of the set.
 _FIELDS = {"word": np.uint32, "doc": np.int64, "line": np.int32, "size": np.int32, "place": np.int32, "parity": np.uint64, "more": np.uint64, "set": np.uint64}
-_SET = list(_FIELDS).index("set")
+_PLACE = list(_FIELDS).index("place")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D | 1
 _BYTES = np.random.default_rng(8).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _BYTES[65:91] = _BYTES[97:123]
+#: White space parts words and counts nothing in their hashes.
+_WORD = np.ones(256, bool)
+_WORD[[32, *range(9, 14)]] = False
+_BYTES[~_WORD] = 0
 _POWERS: list[np.ndarray] = []
 
 
@@ -88,7 +92,7 @@ def line_sets(raw: np.ndarray, at: np.ndarray, least: int = LEAST_WORDS) -> Iter
 
 
 def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarray, least: int) -> Iterator[Sets]:
-    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    word = _WORD[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = starts[(starts > 0) & (starts < len(raw))]
@@ -97,9 +101,10 @@ def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarr
     if not len(begin):
         return
     power, inverse = powers(len(raw))
-    values = _BYTES[raw] * power
-    values[~word] = 0
-    h = np.add.reduceat(values, begin) * inverse[begin]
+    values = _BYTES[raw]
+    values *= power
+    h = np.add.reduceat(values, begin)
+    h *= inverse[begin]
     h ^= h >> np.uint64(29)
     h *= _MIX
     h ^= h >> np.uint64(32)
@@ -120,9 +125,17 @@ def _sets(raw: np.ndarray, starts: np.ndarray, doc: np.ndarray, number: np.ndarr
 
 def by_rarity(sets: Sets, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of each line with the rarest first, ties by hash, and each word's place."""
-    owner = sets.owner
-    order = np.argsort(owner.astype(np.uint64) << np.uint64(40) | counts[sets.words & np.uint64(COUNTERS - 1)].astype(np.uint64), kind="stable")
-    return sets.words[order], np.arange(len(order)) - np.repeat(sets.start, sets.size)
+    start = np.repeat(sets.start, sets.size)
+    place = np.arange(len(start)) - start
+    seen = counts[sets.words & np.uint64(COUNTERS - 1)].astype(np.uint64)
+    bits = int(sets.size.max(initial=0)).bit_length()
+    if bits + len(sets.size).bit_length() <= 32:  # line, count and place in one number, which sorts faster than an order does
+        low = np.uint64(bits)
+        key = np.sort((sets.owner.astype(np.uint64) << np.uint64(32) | seen) << low | place.astype(np.uint64))
+        order = start + (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((seen, sets.owner))
+    return sets.words[order], place
 
 
 def rarity(docs: DataFrame, text: str, least: int = LEAST_WORDS) -> np.ndarray:
@@ -133,7 +146,7 @@ def rarity(docs: DataFrame, text: str, least: int = LEAST_WORDS) -> np.ndarray:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in bounded(batches):
             for sets in line_sets(*text_bytes(batch.column(0)), least):
-                counts += np.bincount((sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counts, (sets.words & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
         for k in range(0, COUNTERS, part):
             if counts[k : k + part].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts[k : k + part].tobytes()])], ["k", "counts"])
@@ -192,6 +205,19 @@ def postings(sets: Sets, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray
     return [*(c.astype(t) for c, t in zip(columns, _FIELDS.values(), strict=True)), *(p[owner] for p in parity[2:])]
 
 
+def earliest(columns: list[np.ndarray]) -> np.ndarray:
+    """Marks the postings of the earliest line of each set; a line's postings come one after the other, from place 0 on."""
+    _, doc, line, _, place, _, _, whole, *_ = columns
+    begins = np.flatnonzero(place == 0)
+    order = begins[np.lexsort((line[begins], doc[begins], whole[begins]))]
+    new = np.ones(len(order), bool)
+    new[1:] = whole[order][1:] != whole[order][:-1]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    kept = np.zeros(len(place), bool)
+    kept[order] = (doc[order] == doc[head]) & (line[order] == line[head])
+    return kept[begins[np.cumsum(place == 0) - 1]]
+
+
 def _parity(words: np.ndarray, start: np.ndarray, shift: int, parts: int) -> list[np.ndarray]:
     """Bits of which each word of a line turns one, by its hash from bit `shift` on."""
     part = (words >> np.uint64(shift)) % np.uint64(parts)
@@ -210,10 +236,11 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
     first = np.lexsort((line, doc, whole, word))
     same = np.zeros(len(first), bool)
     same[1:] = (word[first][1:] == word[first][:-1]) & (whole[first][1:] == whole[first][:-1]) & (size[first][1:] == size[first][:-1])
-    copies = first[same]
-    # A set that is the same in the same place comes from a row that is there twice.
-    before = first[np.flatnonzero(same) - 1]
-    copies = copies[(doc[copies] != doc[before]) | (line[copies] != line[before])]
+    # Equal sets meet under each of their words; one row, from the rarest, is enough. What is the same in the same place
+    # comes from a row that is there twice.
+    again = np.flatnonzero(same)
+    copies, before = first[again], first[again - 1]
+    copies = copies[(place[copies] == 0) & ((doc[copies] != doc[before]) | (line[copies] != line[before]))]
     none = np.full(len(copies), -1)
     yield copies, none, none, none > 0
     left = first[~same]
@@ -257,6 +284,18 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
     yield left[members], np.full(len(members), -1), word[left[members]].astype(np.int64), more[members]
 
 
+def together(parts: Iterator[tuple[np.ndarray, ...]], least: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    """Small tuples of columns joined to larger ones."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for part in parts:
+        kept.append(part)
+        if sum(len(k[0]) for k in kept[-64:]) >= least or len(kept) >= 1 << 12:
+            yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+            kept = []
+    if kept:
+        yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
+
+
 def place_of(docs: DataFrame, doc_id: str, text: str) -> Column:
     """The number that orders documents: an integer id itself, a hash of any other; without an id a hash of the text, after all others."""
     whole = docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -275,31 +314,26 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[list[np.ndarray]] = []
-        seen: set[int] = set()
 
         def out() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*gathered, strict=True)]
             gathered.clear()
-            seen.clear()
-            bucket = columns[0] % np.uint32(buckets)
+            # Of copies of a set that are gathered, only the earliest needs to meet others.
+            first = earliest(columns)
+            copy = np.flatnonzero(~first & (columns[_PLACE] == 0))
+            sent = np.flatnonzero(first)
+            bucket = (columns[0][sent] % np.uint32(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = np.split(order, cuts)
-            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_pack(columns, p) for p in parts], pa.binary()), pa.array([False] * len(parts))], ["bucket", "data", "copies"])
+            parts = [(int(bucket[p[0]]), sent[p], False) for p in np.split(order, cuts)]
+            if len(copy):
+                parts.append((int(columns[1][copy[0]] % buckets), copy, True))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([_pack(columns, p) for _, p, _ in parts], pa.binary()), pa.array([c for *_, c in parts])], ["bucket", "data", "copies"])
 
         for batch in bounded(batches):
             ids = batch.column(0).to_numpy()
             for sets in line_sets(*text_bytes(batch.column(1)), least_words):
-                columns = postings(sets, ids, counts.value)
-                # Of copies of a set in this task, only the earliest needs to meet others.
-                whole, at, back = np.unique(columns[_SET], return_index=True, return_inverse=True)
-                order = np.lexsort((columns[2], columns[1], columns[_SET]))
-                firsts = order[np.searchsorted(columns[_SET][order], whole)]
-                first = (columns[1] == columns[1][firsts][back]) & (columns[2] == columns[2][firsts][back])
-                gathered.append([c[first] for c in columns])
-                copy = ~first & (columns[4] == 0)
-                if copy.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(columns[1][copy][0] % buckets)], pa.int32()), pa.array([_pack(columns, np.flatnonzero(copy))], pa.binary()), pa.array([True])], ["bucket", "data", "copies"])
+                gathered.append(postings(sets, ids, counts.value))
             if sum(len(g[0]) for g in gathered) > GATHER:
                 yield out()
         if gathered:
@@ -312,7 +346,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         def search(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             columns = _unpack(blobs)
             _, doc, line, *_ = columns
-            for x, y, word, more in meet(columns, NAMED):
+            for x, y, word, more in together(meet(columns, NAMED)):
                 yield rows(doc[x], line[x], pa.array(doc[y], mask=y < 0), pa.array(line[y], mask=y < 0), pa.array(word, mask=word < 0), more)
 
         now, blobs = None, []
