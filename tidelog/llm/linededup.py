@@ -287,11 +287,13 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
 def together(parts: Iterator[tuple[np.ndarray, ...]], least: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
     """Small tuples of columns joined to larger ones."""
     kept: list[tuple[np.ndarray, ...]] = []
+    rows = 0
     for part in parts:
         kept.append(part)
-        if sum(len(k[0]) for k in kept[-64:]) >= least or len(kept) >= 1 << 12:
+        rows += len(part[0])
+        if rows >= least:
             yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
-            kept = []
+            kept, rows = [], 0
     if kept:
         yield tuple(np.concatenate(c) for c in zip(*kept, strict=True))
 
