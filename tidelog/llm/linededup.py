@@ -197,7 +197,12 @@ def postings(sets: Sets, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray
     kept = place < prefix[owner]
     if len(words):
         whole = np.add.reduceat((words ^ (words >> np.uint64(31))) * _MIX, sets.start)
-        parity = [*_parity(words, sets.start, 57, 2), *_parity(words, sets.start, 20, WIDE)]
+        parity = [*_parity(words, sets.start, 57, 2), *(np.zeros(len(sets.size), np.uint64) for _ in range(WIDE))]
+        long = sets.size > LONG
+        if long.any():
+            sizes = sets.size[long]
+            for wide, part in zip(parity[2:], _parity(words[long[owner]], np.cumsum(sizes) - sizes, 20, WIDE), strict=True):
+                wide[long] = part
     else:
         whole, parity = words, [words] * (2 + WIDE)
     owner = owner[kept]
@@ -233,7 +238,9 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
     """
     over, under = SIMILARITY
     word, doc, line, size, place, parity, parity2, whole, *wide = columns
-    first = np.lexsort((line, doc, whole, word))
+    in_order = np.lexsort((line, doc))
+    key = word.astype(np.uint64) << np.uint64(32) | whole >> np.uint64(32)
+    first = in_order[np.argsort(key[in_order], kind="stable")]
     same = np.zeros(len(first), bool)
     same[1:] = (word[first][1:] == word[first][:-1]) & (whole[first][1:] == whole[first][:-1]) & (size[first][1:] == size[first][:-1])
     # Equal sets meet under each of their words; one row, from the rarest, is enough. What is the same in the same place
@@ -243,8 +250,10 @@ def meet(columns: list[np.ndarray], named: int) -> Iterator[tuple[np.ndarray, np
     copies = copies[(place[copies] == 0) & ((doc[copies] != doc[before]) | (line[copies] != line[before]))]
     none = np.full(len(copies), -1)
     yield copies, none, none, none > 0
-    left = first[~same]
-    left = left[np.lexsort((line[left], doc[left], word[left]))]
+    unlike = np.ones(len(first), bool)
+    unlike[first[same]] = False
+    left = in_order[unlike[in_order]]
+    left = left[np.argsort(word[left], kind="stable")]
     begins = np.ones(len(left), bool)
     begins[1:] = word[left][1:] != word[left][:-1]
     start = np.maximum.accumulate(np.where(begins, np.arange(len(left)), 0))
