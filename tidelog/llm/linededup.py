@@ -384,12 +384,14 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     pairs = saved(met.filter("by_doc IS NOT NULL").join(gone, at, "left_anti").select("doc", "line", "by_doc", "by_line"))
     members = met.filter("word IS NOT NULL").select("doc", "line", "word", "more")
     ends = pairs.select(at).unionByName(pairs.select(F.col("by_doc").alias("doc"), F.col("by_line").alias("line")))
-    similar = saved(verified(saved(sets_of(texts, ends, least_words)), pairs).unionByName(gone).distinct())
+    # One pass over the texts gives the sets for both the pairs and the crowded words.
+    words = saved(sets_of(texts, ends.unionByName(members.select(at)), least_words))
+    similar = saved(verified(words, pairs).unionByName(gone).distinct())
     open_ = members.filter("more").join(similar, at, "left_anti").select("doc", "line", "word", F.lit(True).alias("open"))
     crowds = saved(members.join(open_.select("word").distinct(), "word", "left_semi").join(open_, ["word", *at], "left").select("word", "doc", "line", F.coalesce("open", F.lit(False)).alias("open")))
     if crowds.isEmpty():
         return similar
-    return saved(similar.unionByName(compared(sets_of(texts, crowds.select(at), least_words), crowds)).distinct())
+    return saved(similar.unionByName(compared(words, crowds)).distinct())
 
 
 def sets_of(texts: DataFrame, lines: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
