@@ -47,3 +47,38 @@ def test_ties_copies_and_useless_vectors(spark):
     assert by[300] == [(301, 1.0)]
     assert set(by) == {0, 100, 300}
     assert neighbours.nearest(data.limit(0), F.lit(True)).count() == 0
+
+
+def test_parts_and_groups_of_copies_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 8)
+    monkeypatch.setattr(neighbours, "TOGETHER", 16)
+    random = np.random.default_rng(5)
+    vectors = random.integers(-3, 4, (600, 4)).astype(float)
+    vectors[::3] = [1, 2, 3, 1]  # a third of all rows
+    vectors[(vectors == 0).all(axis=1)] = 1
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)]
+    rows += rows[5:8]  # rows that are there twice
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, asks int")
+    got = neighbours.nearest(data, F.col("asks") == 1).toPandas().sort_values(["query_id", "rank"])
+    ids, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert got.groupby("query_id").size().eq(10).all() and got.query_id.nunique() == 300
+    for query, found in got.groupby("query_id"):
+        want, far = brute(ids, all_, query)
+        assert found.vec_id.tolist() == want
+        assert np.allclose(found.score, far)
+
+
+def test_cells_that_a_query_visits_do_not_grow_with_the_table():
+    random = np.random.default_rng(6)
+    visits = []
+    for clusters in (64, 512):
+        vectors = np.repeat(random.standard_normal((clusters, 64)), 64, axis=0) + 0.02 * random.standard_normal((clusters * 64, 64))
+        projected = vectors @ neighbours.directions(64)
+        cuts = neighbours.Cuts(projected, clusters // 4)
+        sizes = np.bincount(cuts.cell(projected), minlength=clusters // 4)
+        assert sizes.min() > 128 and sizes.max() < 512
+        asked = np.arange(0, len(vectors), len(vectors) // 50)
+        mates = vectors.reshape(clusters, 64, 64)[asked // 64]
+        far = np.sort(((vectors[asked, None] - mates) ** 2).sum(axis=2), axis=1)[:, 10]
+        visits.append(np.mean([(cuts.gaps(p) < neighbours.bound() * f).sum() for p, f in zip(projected[asked], far, strict=True)]))
+    assert visits[1] < 2 * visits[0] < 16
