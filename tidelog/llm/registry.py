@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import language, linededup, media, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
+from tidelog.llm import chat, language, linededup, media, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
 from tidelog.llm.common import table
 
 QUERIES: dict = {}
@@ -76,3 +76,24 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_urls"] = urlfilter.ORACLE_SQL
+
+
+@query
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings, as records of several layouts, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for k, role in enumerate(("user", "assistant"))))))
+    back = chat.read_back(chat.formatted(chat.turns(chat.as_records(rows.unionByName(odd)))))
+    line = F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("said").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op13_chat"] = chat.ORACLE_SQL
