@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, language, linededup, media, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
+from tidelog.llm import chat, hardneg, language, linededup, media, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
 from tidelog.llm.common import table
 
 QUERIES: dict = {}
@@ -78,6 +78,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_urls"] = urlfilter.ORACLE_SQL
 
 
+@query
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op11_hardneg"] = hardneg.ORACLE_SQL
+
+
 @query
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings, as records of several layouts, formatted and read back."""
