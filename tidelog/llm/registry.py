@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, hardneg, language, linededup, media, mixing, neighbours, pieces, quality, simhash, suffixes, urlfilter
+from tidelog.llm import chat, hardneg, language, linededup, media, mixing, neighbours, phrases, pieces, quality, simhash, suffixes, urlfilter
 from tidelog.llm.common import table
 
 QUERIES: dict = {}
@@ -87,6 +87,14 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op11_hardneg"] = hardneg.ORACLE_SQL
 
 
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_phrases"] = phrases.ORACLE_SQL
+
+
 @query
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings, as records of several layouts, formatted and read back."""
