@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tidelog import api
+from tidelog.operators import archive
 from tidelog.sources.npz import save_entry
 
 ONSET = 1_700_000_000_000_000
@@ -29,6 +30,39 @@ def test_reading_an_archive(reader):
         api.LogArchiveReader("/none/1_log.npz")
 
 
+def stored(source, time, payload=b""):
+    return np.frombuffer(bytes([source]) + time.to_bytes(8, "little") + payload, np.uint8)
+
+
+def test_members_of_other_names(spark, tmp_path):
+    path = str(tmp_path / "nonstandard.npz")
+    onset = stored(1, 0, ONSET.to_bytes(8, "little"))
+    np.savez(path, onset_message=onset, **{f"001_{(k + 1) * 1000:020d}": stored(1, (k + 1) * 1000, bytes([k])) for k in range(3)})
+    given = api.LogArchiveReader(path, onset_us=ONSET)
+    assert len(given.keys) == given.message_count == 4
+    found = api.LogArchiveReader(path)
+    assert found.onset_timestamp_us == ONSET and found.message_count == 3
+    assert [m.timestamp_us for m in found.iter_messages()] == [ONSET + (k + 1) * 1000 for k in range(3)]
+    assert api.read_archive_message_count(path) == 4  # no name is an onset's
+    np.savez(path, b=stored(1, 5), a=stored(1, 4))
+    with pytest.raises(ValueError, match="onset"):
+        _ = api.LogArchiveReader(path).keys
+
+
+def test_what_lies_before_the_onset_is_no_message(spark, tmp_path):
+    path = str(tmp_path / "1_log.npz")
+    key = "001_{:020d}".format
+    members = {key(7): stored(1, 7, b"a"), key(0): stored(1, 0, ONSET.to_bytes(8, "little")), key(9): stored(1, 9, b"b"), key(3): stored(1, 3, b"c"), "again": stored(1, 0, b"d")}
+    np.savez(path, **members)
+    reader = api.LogArchiveReader(path)
+    assert reader.keys == [key(9), key(3), "again"] and reader.message_count == 3
+    times, payloads = reader.read_all_messages()
+    assert times.tolist() == [ONSET + 9, ONSET + 3, ONSET] and [p.tobytes() for p in payloads] == [b"b", b"c", b"d"]
+    assert api.LogArchiveReader(path, onset_us=5).keys == reader.keys
+    rows = archive.messages(archive.as_packages(archive.read_archive(spark, path)))
+    assert sorted((int(r.timestamp_us), bytes(r.payload)) for r in rows.collect()) == [(ONSET, b"d"), (ONSET + 3, b"c"), (ONSET + 9, b"b")]
+
+
 def test_packages():
     name, data = api.LogPackage(7, 1234567890, np.array([10, 20, 30, 255], np.uint8)).data
     assert (name, data.tobytes().hex()) == ("007_00000000001234567890.npy", "07d2029649000000000a141eff")

@@ -27,6 +27,7 @@ from tidelog.operators.tracker import Status as ProcessingStatus
 from tidelog.operators.transfer import delete_directory
 from tidelog.runtime import initialize_worker_threads, limit_worker_threads
 from tidelog.schema import PACKAGE
+from tidelog.sources.npz import Wanted
 from tidelog.streaming.ingest import DataLogger
 
 #: Ends of the names of a log's directory and of an archive. Fixed values.
@@ -91,31 +92,38 @@ class LogArchiveReader:
         return f"LogArchiveReader({self.archive_path!r})"
 
     @cached_property
-    def _onset_row(self):  # noqa: ANN202
+    def _onset(self) -> tuple[int | None, int | None]:
+        """The onset's place in the archive and its time, as far as they are there: the first entry at time 0; of an archive
+        whose onset is given, the first with an onset's name."""
+        if self._given is not None:
+            named = self._names().filter(F.col("entry_key").endswith("_" + "0" * 20))
+            return named.agg(F.min("place")).first()[0], self._given
         data = F.col("data")
-        zero = self.frame.filter(F.col("acquisition_time") == 0).select("entry_key", codec.u64_value(codec.payload_of(data)).alias("onset"))
-        return zero.orderBy("entry_key").first()
+        zero = archive.read_archive(session(), self.archive_path, Wanted(high=0))
+        row = zero.agg(F.min_by(F.struct("place", codec.u64_value(codec.payload_of(data)).alias("onset")), "place").alias("first")).first()
+        return (row["first"]["place"], int(row["first"]["onset"])) if row["first"] else (None, None)
 
-    @cached_property
+    def _names(self) -> DataFrame:
+        return archive.read_archive(session(), self.archive_path, names_only=True)
+
+    @property
     def onset_timestamp_us(self) -> int:
-        if self._given is not None:
-            return self._given
-        if self._onset_row is None:
+        if self._onset[1] is None:
             raise ValueError(f"{self.archive_path} has no onset entry")
-        return int(self._onset_row["onset"])
+        return self._onset[1]
 
-    @property
-    def _messages(self) -> DataFrame:
-        """Entries after the onset; all of them where there is none and its time is given."""
-        return self.frame if self._given is not None and self._onset_row is None else self.frame.filter(F.col("acquisition_time") != 0)
+    def _after(self, rows: DataFrame) -> DataFrame:
+        """What follows the onset; everything if the onset is given and has no entry of its own."""
+        self.onset_timestamp_us  # noqa: B018  ValueError where there is none
+        return rows if self._onset[0] is None else rows.filter(F.col("place") > self._onset[0])
 
     @property
     def message_count(self) -> int:
-        return self._messages.select("entry_key").count()
+        return self._after(self._names()).count()
 
     @cached_property
     def keys(self) -> list[str]:
-        return [r["entry_key"] for r in self._messages.select("entry_key", "acquisition_time").orderBy("acquisition_time", "entry_key").collect()]
+        return [r["entry_key"] for r in self._after(self._names()).select("entry_key", "place").orderBy("place").collect()]
 
     def get_batches(self, workers: int = -1, batch_multiplier: int = archive.BATCHES_PER_WORKER) -> list[list[str]]:
         """The keys in runs: one run below LEAST_SPLIT keys, none without keys."""
@@ -129,13 +137,13 @@ class LogArchiveReader:
     def messages(self, keys: Sequence[str] | None = None) -> DataFrame:
         """(place, timestamp_us, payload) of all messages, or of some keys in the order given."""
         data = F.col("data")
-        rows = self._messages
         if keys is None:
-            place = F.struct("acquisition_time", "entry_key").alias("place")
+            rows = self._after(self.frame)
         else:
-            rows = rows.join(session().createDataFrame(list(enumerate(keys)), "place long, entry_key string"), "entry_key")
-            place = F.col("place")
-        return rows.select(place, (codec.elapsed_of(data) + F.lit(Decimal(self.onset_timestamp_us))).cast("decimal(20,0)").alias("timestamp_us"), codec.payload_of(data).alias("payload"))
+            wanted = session().createDataFrame(list(enumerate(keys)), "place long, entry_key string")
+            own = archive.read_archive(session(), self.archive_path, Wanted(keys=frozenset(keys)))
+            rows = own.drop("place").join(wanted, "entry_key")
+        return rows.select("place", (codec.elapsed_of(data) + F.lit(Decimal(self.onset_timestamp_us))).cast("decimal(20,0)").alias("timestamp_us"), codec.payload_of(data).alias("payload"))
 
     def iter_messages(self, keys: Sequence[str] | None = None) -> Iterator[LogMessage]:
         for row in self.messages(keys).orderBy("place").toLocalIterator():

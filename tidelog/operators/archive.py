@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codec
 from tidelog.sources import register
-from tidelog.sources.npz import ArchiveWriter
+from tidelog.sources.npz import Wanted
 from tidelog.sources.tree import walk
 
 #: Entries below which reading is not split, and how many batches each worker gets.
@@ -32,14 +32,27 @@ def grouped(packages: DataFrame, value: str) -> DataFrame:
     return packages.groupBy("source_id").agg(F.transform(pairs, lambda p: p[value]).alias(value))
 
 
-def onsets(packages: DataFrame, order: str = "entry_key") -> DataFrame:
-    """The first entry at time 0 of each source holds the time that the others count from: (source_id, onset_us)."""
+def onsets(packages: DataFrame, order: str | None = None) -> DataFrame:
+    """The first entry at time 0 of each source holds the time that the others count from: (source_id, onset_us).
+
+    First in `order`; by default the place in the archive if that is a column, else the key.
+    """
+    order = order or ("place" if "place" in packages.columns else "entry_key")
     first = packages.filter(F.col("acquisition_time") == 0).groupBy("source_id").agg(F.min_by("serialized_data", order).alias("data"))
     return first.select("source_id", codec.u64_value(F.col("data")).alias("onset_us"))
 
 
+def after_onset(packages: DataFrame) -> DataFrame:
+    """Entries that follow their source's first onset: in place of the archive if that is a column, all of them where there is no
+    onset; else all that are not at time 0."""
+    if "place" not in packages.columns:
+        return packages.filter(F.col("acquisition_time") != 0)
+    first = packages.filter(F.col("acquisition_time") == 0).groupBy("source_id").agg(F.min("place").alias("onset_place"))
+    return packages.join(first, "source_id", "left").filter(F.col("onset_place").isNull() | (F.col("place") > F.col("onset_place"))).drop("onset_place")
+
+
 def messages(packages: DataFrame, onset: DataFrame | None = None, *, strict: bool = False) -> DataFrame:
-    """Entries other than the onset with absolute time: (source_id, timestamp_us, payload).
+    """Entries after the onset with absolute time: (source_id, timestamp_us, payload).
 
     onset may give (source_id, onset_us) from elsewhere. Sources without an onset give no rows; strict makes that a
     ValueError. The join is broadcast by Spark where the onsets are few.
@@ -47,7 +60,7 @@ def messages(packages: DataFrame, onset: DataFrame | None = None, *, strict: boo
     known = onsets(packages) if onset is None else onset
     if strict and not packages.join(known, "source_id", "left_anti").isEmpty():
         raise ValueError("a source has no onset entry and none was given")
-    rows = packages.filter(F.col("acquisition_time") != 0).join(known, "source_id")
+    rows = after_onset(packages).join(known, "source_id")
     return rows.select("source_id", (F.col("onset_us") + F.col("acquisition_time")).cast("decimal(20,0)").alias("timestamp_us"), F.col("serialized_data").alias("payload"))
 
 
@@ -84,53 +97,59 @@ def store(packages: DataFrame, path: str, mode: str = "append") -> None:
     packages.repartition("source_id", F.floor(F.col("acquisition_time") / 3_600_000_000)).sortWithinPartitions("source_id", "acquisition_time").write.mode(mode).partitionBy("source_id").parquet(path)
 
 
-def read_entries(spark: SparkSession, log_directory: str) -> DataFrame:
-    """The entry files of one log directory, not of those below it."""
+def _scan(spark: SparkSession, kind: str, wanted: Wanted | None, **options: object) -> DataFrame:
     register(spark)
-    return spark.read.format("npylog").load(log_directory)
+    reader = spark.read.format(kind).options(**options)
+    return (reader.option("wanted", wanted.option()) if wanted else reader).load()
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The members of an archive; FileNotFoundError if there is none."""
+def read_entries(spark: SparkSession, log_directory: str, wanted: Wanted | None = None) -> DataFrame:
+    """The entry files of one log directory, not of those below it; of these, only what is wanted is opened."""
+    return _scan(spark, "npylog", wanted, path=log_directory)
+
+
+def read_archive(spark: SparkSession, path: str, wanted: Wanted | None = None, *, names_only: bool = False) -> DataFrame:
+    """The members of an archive, or their names alone; FileNotFoundError if there is none."""
     if not os.path.isfile(path):
         raise FileNotFoundError(path)
-    register(spark)
-    return spark.read.format("npzlog").load(path)
+    return _scan(spark, "npzlog", wanted, path=path, names_only=names_only)
 
 
-def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
-    """The members of several archives."""
-    register(spark)
-    return spark.read.format("npzlog").option("archives", json.dumps(archives)).load(os.path.dirname(archives[0]) if archives else ".")
+def read_archives(spark: SparkSession, archives: list[str], wanted: Wanted | None = None) -> DataFrame:
+    """The members of several archives. Archives of other sources than the wanted ones are not opened where their names tell it."""
+    if wanted and wanted.sources is not None:
+        other = {f"{source}_log.npz" for source in set(range(256)) - wanted.sources}
+        archives = [path for path in archives if os.path.basename(path) not in other]
+    return _scan(spark, "npzlog", wanted, archives=json.dumps(archives))
 
 
 def as_packages(wire: DataFrame) -> DataFrame:
-    """Entries as stored, with their payload decoded."""
+    """Entries as stored, with their payload decoded; their place in an archive stays."""
     data: Column = F.col("data")
-    return wire.select("source_id", codec.elapsed_of(data).alias("acquisition_time"), codec.payload_of(data).alias("serialized_data"), "entry_key")
+    place = [c for c in ("place",) if c in wire.columns]
+    return wire.select("source_id", "acquisition_time", codec.payload_of(data).alias("serialized_data"), "entry_key", *place)
 
 
 def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sources: bool = True, verify_integrity: bool = False) -> list[str]:
     """Consolidate the entry files of a log directory into one archive for each source; returns the archives.
 
     Each source goes to one task in order of time and is streamed to its archive, so no source has to fit in memory.
-    An existing archive of a source is replaced. The files go only after the optional check found no difference;
+    An existing archive of a source is replaced, all of them at once when the last is whole. The files go only after the optional check found no difference;
     ValueError if it did.
     """
     entries = read_entries(spark, log_directory)
-    write = ArchiveWriter(log_directory)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from write(parts)
-
-    ordered = entries.repartition("source_id").sortWithinPartitions("source_id", "acquisition_time")
-    written = sorted(row["archive"] for row in ordered.mapInPandas(run, "archive string").collect())
+    sources = sorted(row["source_id"] for row in entries.select("source_id").distinct().collect())  # a byte: 256 at most
+    if not sources:
+        return []
+    ordered = entries.repartition("source_id").sortWithinPartitions("source_id", "acquisition_time", "entry_key")
+    ordered.write.format("npzlog").mode("append").save(log_directory)
+    written = sorted(os.path.join(log_directory, f"{source}_log.npz") for source in sources)
     if verify_integrity:
         members = read_archives(spark, written)
         bad = mismatches(entries, members, "data").select("source_id").first()
         if bad is not None:
             raise ValueError(f"the archive of source {bad['source_id']} in {log_directory} differs from the entries it was made of")
-    if remove_sources and written:
+    if remove_sources:
 
         def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -164,8 +183,5 @@ def discover_log_archives(log_directory: str) -> dict[str, str]:
 
 def archive_message_count(spark: SparkSession, path: str) -> int:
     """Members of an archive that are not onsets, from the names alone."""
-    register(spark)
-    if not os.path.isfile(path):
-        raise FileNotFoundError(path)
-    names = spark.read.format("npzlog").option("names_only", "true").load(path)
+    names = read_archive(spark, path, names_only=True)
     return names.filter(~F.col("entry_key").endswith("_" + "0" * 20)).count()

@@ -61,6 +61,14 @@ def message_absolute_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", F.col("timestamp_us").cast("long").alias("timestamp_us"), F.hex("payload").alias("payload"))
 
 
+@query(_PACKAGES + "SELECT w.event_id, (us0 + t)::BIGINT AS timestamp_us FROM wire w JOIN (SELECT source_id, event_id AS onset_place FROM wire WHERE t = 0) o ON w.source_id = o.source_id WHERE w.event_id > onset_place")
+def messages_after_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in order of arrival instead of time: what lies before the onset in the archive is no message."""
+    rows = packages(spark, sf_dir).withColumn("place", F.col("event_id"))
+    kept = archive.after_onset(rows).join(archive.onsets(rows), "source_id")
+    return kept.select("event_id", (F.col("onset_us") + F.col("acquisition_time")).cast("long").alias("timestamp_us"))
+
+
 @query(_PACKAGES + "SELECT source_id, t::BIGINT AS elapsed FROM wire WHERE t > 0")
 def messages_excluding_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages(spark, sf_dir).filter("acquisition_time > 0").select("source_id", F.col("acquisition_time").cast("long").alias("elapsed"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,46 +20,58 @@ from tidelog.operators.discovery import walk_files
 from tidelog.operators.tracker import ProcessingTracker
 from tidelog.plans.base import query, table
 from tidelog.plans.entries import _PACKAGES, packages
-from tidelog.schema import PACKAGE
+from tidelog.schema import PACKAGE, WIRE
 from tidelog.sources import register
-from tidelog.sources.npz import save_entry
+from tidelog.sources.npz import Wanted
 from tidelog.streaming.ingest import DataLogger, package_stream, read_log
 
 
+def local_path(named: str) -> str:
+    """A folder as Hadoop names it (/a, file:/a, file:///a) as a path. ValueError for another scheme: these operations need files."""
+    parts = urlsplit(named)
+    if parts.scheme not in ("", "file") or parts.netloc not in ("", "localhost"):
+        raise ValueError(f"{named} is not in a file system that executors mount")
+    return unquote(parts.path) if parts.scheme else named
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see; one of the machine only where the session is local and names none."""
+    """A new folder that all executors see, gone when this process ends; one of the machine only where the session is local and names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    top = (shared or tempfile.gettempdir()).removeprefix("file://")
-    made = os.path.join(top, f"tidelog-{uuid.uuid4().hex}")
+    made = os.path.join(local_path(shared) if shared else tempfile.gettempdir(), f"tidelog-{uuid.uuid4().hex}")
     os.makedirs(made)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     return made
 
 
-def _files(rows: DataFrame, directory: str) -> int:
-    """(entry_key, data) -> an entry file each."""
+_STORED = _PACKAGES + "SELECT source_id, t::BIGINT AS elapsed, body AS payload FROM (SELECT *, row_number() OVER (PARTITION BY source_id, t ORDER BY event_id DESC) AS place FROM wire) WHERE place = 1"
 
-    def save(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for key, data in zip(part["entry_key"], part["data"], strict=True):
-                save_entry(directory, key, data)
-            yield part[["entry_key"]]
 
-    return rows.select("entry_key", "data").mapInPandas(save, "entry_key string").count()
+def _archived(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The packages as entry files, then as one archive a source."""
+    directory = folder(spark)
+    register(spark)
+    entries = codec.with_wire(archive.last_write(packages(spark, sf_dir), "event_id"))
+    entries.select(*WIRE.names).write.format("npylog").mode("append").save(directory)
+    return archive.assemble_log_archives(spark, directory, verify_integrity=True)
 
 
-_STORED = _PACKAGES + "SELECT source_id, t::BIGINT AS elapsed, body AS payload FROM (SELECT *, row_number() OVER (PARTITION BY source_id, t ORDER BY event_id DESC) AS place FROM wire) WHERE place = 1"
+def _shown(members: DataFrame) -> DataFrame:
+    return members.select("source_id", F.col("acquisition_time").cast("long").alias("elapsed"), F.hex("serialized_data").alias("payload"))
 
 
 @query(_STORED)
 def npz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry files, one archive a source, and their members read back."""
-    directory = folder(spark)
-    _files(codec.with_wire(archive.last_write(packages(spark, sf_dir), "event_id")), directory)
-    archives = archive.assemble_log_archives(spark, directory, verify_integrity=True)
-    members = archive.as_packages(archive.read_archives(spark, archives))
-    return members.select("source_id", F.col("acquisition_time").cast("long").alias("elapsed"), F.hex("serialized_data").alias("payload"))
+    return _shown(archive.as_packages(archive.read_archives(spark, _archived(spark, sf_dir))))
+
+
+@query(f"SELECT * FROM ({_STORED}) WHERE source_id IN (3, 5, 8, 13) AND elapsed BETWEEN 1 AND 1500000000000")
+def archive_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some sources and a range of times: other archives, and members at other times, are not opened."""
+    wanted = Wanted(sources=frozenset({3, 5, 8, 13}), low=1, high=1_500_000_000_000)
+    return _shown(archive.as_packages(archive.read_archives(spark, _archived(spark, sf_dir), wanted)))
 
 
 @query(_PACKAGES + "SELECT source_id, t::BIGINT AS elapsed, header || body AS data FROM wire")

@@ -1,79 +1,242 @@
-"""Entry files (one NumPy array each) and archives (an uncompressed zip of arrays for each source)."""
+"""Entry files (one NumPy array each) and archives (an uncompressed zip of arrays for each source): scans and sinks.
+
+The name of an entry is its key: source and time, as `{source:03d}_{time:020d}`. What a scan is for (Wanted) is looked up in
+the names, so that files and members which can't be wanted are not opened. A member with another name is read, and its
+source and time are those of its first nine bytes. Sinks write to a staging folder, and what they wrote appears at the commit.
+"""
 
 from __future__ import annotations
 
 import io
 import json
 import os
+import re
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import Row
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import LongType, StructType
 
 from tidelog.schema import WIRE
 
-#: Entries that one task reads.
-PART = 4096
+#: Entry files that one task reads, and bytes of an archive.
+PART, SPLIT = 4096, 64 << 20
+HEADER_BYTES = 9
+NAME = re.compile(r"(\d{3})_(\d{20})")
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Which entries a scan is for: sources, times from `low` to `high`, keys; None is all. Given when the scan is made.
+
+    It is not taken from the filters of a query (`pushFilters`): Spark 4.1 keeps the filters it pushed into a Python source
+    with the loaded DataFrame, so that the next query over the same DataFrame would miss what the last one did not ask for.
+    """
+
+    sources: frozenset[int] | None = None
+    low: int = 0
+    high: int = 2**64 - 1
+    keys: frozenset[str] | None = None
+
+    def option(self) -> str:
+        return json.dumps([None if self.sources is None else sorted(self.sources), self.low, self.high, None if self.keys is None else sorted(self.keys)])
 
+    @classmethod
+    def of(cls, options: dict[str, str]) -> Wanted:
+        if "wanted" not in options:
+            return cls()
+        sources, low, high, keys = json.loads(options["wanted"])
+        return cls(None if sources is None else frozenset(sources), low, high, None if keys is None else frozenset(keys))
+
+    def name(self, stem: str) -> bool:
+        """Whether the entry of this name may be wanted; a name of another form says nothing of source and time."""
+        if self.keys is not None and stem not in self.keys:
+            return False
+        form = NAME.fullmatch(stem)
+        return form is None or self.holds(int(form[1]), int(form[2]))
 
-class Part(InputPartition):
-    def __init__(self, path: str, names: list[str], only: bool = False) -> None:
-        self.path, self.names, self.only = path, names, only
+    def holds(self, source: int, time: int) -> bool:
+        return self.low <= time <= self.high and (self.sources is None or source in self.sources)
 
 
-def _row(stem: str, data: np.ndarray) -> tuple:
-    source, time = stem.split("_")[:2]
-    return int(source), Decimal(time), stem, data.tobytes()
+def row(stem: str, data: np.ndarray) -> tuple:
+    """An entry as stored. ValueError if it is too short for its source and time."""
+    raw = data.tobytes()
+    if len(raw) < HEADER_BYTES:
+        raise ValueError(f"the entry {stem} has no header")
+    return raw[0], Decimal(int.from_bytes(raw[1:HEADER_BYTES], "little")), stem, raw
 
 
-def _parts(path: str, names: list[str], only: bool = False) -> list[Part]:
-    return [Part(path, names[k : k + PART], only) for k in range(0, len(names), PART)] or [Part(path, [])]
+@dataclass
+class Files(InputPartition):
+    names: list[str]
 
 
 class EntryReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+        self.path, self.wanted = options["path"], Wanted.of(options)
 
-    def partitions(self) -> list[Part]:
-        return _parts(self.path, sorted(e.name for e in os.scandir(self.path) if e.name.endswith(".npy") and e.is_file()))
+    def partitions(self) -> list[Files]:
+        with os.scandir(self.path) as found:
+            names = sorted(e.name for e in found if e.name.endswith(".npy") and self.wanted.name(e.name[:-4]) and e.is_file())
+        return [Files(names[k : k + PART]) for k in range(0, len(names), PART)] or [Files([])]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[tuple]:
         for name in partition.names:
-            yield _row(name[:-4], np.load(os.path.join(partition.path, name), allow_pickle=False))
+            entry = row(name[:-4], np.load(os.path.join(self.path, name), allow_pickle=False))
+            if self.wanted.holds(entry[0], int(entry[1])):
+                yield entry
+
+
+@dataclass
+class Span(InputPartition):
+    """The members of an archive whose place in the file is from `low` to before `high`."""
+
+    path: str
+    low: int
+    high: int
 
 
 class MemberReader(DataSourceReader):
+    """Archives are split by bytes, so the driver reads no directory of an archive."""
+
     def __init__(self, options: dict[str, str]) -> None:
+        self.wanted = Wanted.of(options)
         self.archives = json.loads(options["archives"]) if "archives" in options else [options["path"]]
         self.only = options.get("names_only", "false").lower() == "true"
+        self.split = int(options.get("split", SPLIT))
 
-    def partitions(self) -> list[Part]:
-        out = []
-        for path in self.archives:
-            with zipfile.ZipFile(path) as archive:
-                out += _parts(path, archive.namelist(), self.only)
-        return out
+    def partitions(self) -> list[Span]:
+        sizes = [(path, os.path.getsize(path)) for path in self.archives]
+        return [Span(path, low, low + self.split) for path, size in sizes for low in range(0, max(size, 1), self.split)] or [Span("", 0, 0)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        if not partition.names:
-            return
-        if partition.only:
-            yield from (_row(name.removesuffix(".npy"), np.zeros(0, np.uint8)) for name in partition.names)
+    def read(self, partition: Span) -> Iterator[tuple]:
+        if not partition.path:
             return
         with zipfile.ZipFile(partition.path) as archive:
-            for name in partition.names:
-                with archive.open(name) as member:
-                    yield _row(name.removesuffix(".npy"), np.lib.format.read_array(member, allow_pickle=False))
+            for place, member in enumerate(archive.infolist()):
+                stem = member.filename.removesuffix(".npy")
+                if not partition.low <= member.header_offset < partition.high or not self.wanted.name(stem):
+                    continue
+                if self.only:
+                    form = NAME.fullmatch(stem)
+                    yield (*((int(form[1]), Decimal(form[2])) if form else (None, None)), stem, None, place)
+                    continue
+                with archive.open(member) as file:
+                    entry = row(stem, np.lib.format.read_array(file, allow_pickle=False))
+                if self.wanted.holds(entry[0], int(entry[1])):
+                    yield *entry, place
+
+
+# --- Sinks ---
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """What one attempt of a task has written: its folder, and the names there."""
+
+    folder: str
+    names: list[str]
+
+
+class EntryWriter(DataSourceWriter):
+    """An entry file for each row. Every attempt writes to a folder of its own below the staging folder of this write.
+
+    The commit moves the files of the attempts that count, and removes the staging folder with what other attempts left;
+    an abort removes it alone. An entry replaces one of its name.
+    """
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path = options["path"]
+        self.staging = os.path.join(self.path, f".staging-{uuid.uuid4().hex}")
+
+    def attempt(self) -> str:
+        folder = os.path.join(self.staging, uuid.uuid4().hex)
+        os.makedirs(folder)
+        return folder
+
+    def write(self, iterator: Iterator[Row]) -> Staged:
+        folder, names = self.attempt(), []
+        for entry in iterator:
+            save_entry(folder, entry.entry_key, entry.data)
+            names.append(f"{entry.entry_key}.npy")
+        return Staged(folder, names)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        moves = [(os.path.join(m.folder, name), os.path.join(self.path, name)) for m in messages if m for name in m.names]
+        with ThreadPoolExecutor() as pool:
+            list(pool.map(lambda move: os.replace(*move), moves, chunksize=256))
+        self.abort(messages)
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+
+class ArchiveWriter(EntryWriter):
+    """One archive for each source. Rows must come in order of source and time, and a source must be in one task.
+
+    ValueError, before anything appears, if a source is in several tasks or comes again in one. An archive replaces the
+    source's former one. A source is streamed to its archive and need not fit in memory.
+    """
+
+    def write(self, iterator: Iterator[Row]) -> Staged:
+        folder, names, now, archive = self.attempt(), [], None, None
+        try:
+            for entry in iterator:
+                if entry.source_id != now:
+                    if archive is not None:
+                        archive.close()
+                    now = entry.source_id
+                    names.append(f"{now}_log.npz")
+                    archive = zipfile.ZipFile(os.path.join(folder, names[-1]), "x", zipfile.ZIP_STORED)
+                member = io.BytesIO()
+                np.lib.format.write_array(member, np.frombuffer(entry.data, np.uint8), allow_pickle=False)
+                archive.writestr(f"{entry.entry_key}.npy", member.getvalue())
+        except FileExistsError:
+            raise ValueError(f"the entries of source {now} are not in order of source") from None
+        finally:
+            if archive is not None:
+                archive.close()
+        return Staged(folder, names)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        names = [name for m in messages if m for name in m.names]
+        if again := sorted({name for name in names if names.count(name) > 1}):
+            self.abort(messages)
+            raise ValueError(f"several tasks have entries of the archives {again}")
+        super().commit(messages)
+
+
+class EntryStreamWriter(DataSourceStreamWriter):
+    """Entry files of each batch of a stream. A batch that runs again writes the same names again."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+        self.inner = EntryWriter(options)
+
+    def write(self, iterator: Iterator[Row]) -> Staged:
+        return self.inner.write(iterator)
+
+    def commit(self, messages: list[Staged | None], batchId: int) -> None:  # noqa: N803
+        self.inner.commit(messages)
+
+    def abort(self, messages: list[Staged | None], batchId: int) -> None:  # noqa: N803
+        self.inner.abort(messages)
 
 
 class EntrySource(DataSource):
-    """format("npylog"): the entry files of one directory."""
+    """format("npylog"): the entry files of one directory, to read, and to write by batch or stream (rows as WIRE).
 
-    reader_type = EntryReader
+    The option `wanted` is that of Wanted.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -83,49 +246,38 @@ class EntrySource(DataSource):
         return WIRE
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return self.reader_type(self.options)
+        return EntryReader(self.options)
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return EntryWriter(self.options)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+        return EntryStreamWriter(self.options)
 
 
 class MemberSource(EntrySource):
-    """format("npzlog"): the members of one archive, or of those in the option `archives`, a JSON list; `names_only` reads no data."""
+    """format("npzlog"): the members of one archive, or of those in the option `archives`, a JSON list, with their place in it.
 
-    reader_type = MemberReader
+    `names_only` reads no data; source and time are then null for names of another form. `split` is the size of a part in
+    bytes. Writing makes an archive for each source in a directory.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "npzlog"
 
+    def schema(self) -> StructType:
+        return StructType([*WIRE.fields]).add("place", LongType())
 
-def save_entry(directory: str, key: str, data: bytes) -> None:
-    np.save(os.path.join(directory, f"{key}.npy"), np.frombuffer(data, np.uint8), allow_pickle=False)
-
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return MemberReader(self.options)
 
-class ArchiveWriter:
-    """Writes entries in order of source to one archive each; an archive appears under its name when it is whole."""
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return ArchiveWriter(self.options)
 
-    def __init__(self, directory: str) -> None:
-        self.directory = directory
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+        raise ValueError("archives are not written by streams; consolidate entry files")
 
-    def __call__(self, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, archive, done = None, None, []
 
-        def close() -> None:
-            if archive is not None:
-                archive.close()
-                os.replace(archive.filename, target(now))
-                done.append(target(now))
-
-        def target(source: int) -> str:
-            return os.path.join(self.directory, f"{source}_log.npz")
-
-        for part in parts:
-            for source, key, data in zip(part["source_id"], part["entry_key"], part["data"], strict=True):
-                if source != now:
-                    close()
-                    now = source
-                    archive = zipfile.ZipFile(f"{target(source)}.{os.getpid()}.part", "w", zipfile.ZIP_STORED)
-                member = io.BytesIO()
-                np.lib.format.write_array(member, np.frombuffer(data, np.uint8), allow_pickle=False)
-                archive.writestr(f"{key}.npy", member.getvalue())
-        close()
-        yield pd.DataFrame({"archive": done})
+def save_entry(directory: str, key: str, data: bytes) -> None:
+    np.save(os.path.join(directory, f"{key}.npy"), np.frombuffer(data, np.uint8), allow_pickle=False)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import os
 import warnings
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.codec import with_wire
-from tidelog.schema import PACKAGE
-from tidelog.sources.npz import save_entry
+from tidelog.schema import PACKAGE, WIRE
+from tidelog.sources import register
 
 
 def package_stream(spark: SparkSession, inbox: str, *, files_per_trigger: int = 1000) -> DataFrame:
@@ -26,6 +24,10 @@ def entry_stream(spark: SparkSession, log_directory: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.npy").load(log_directory)
 
 
+def _wire(packages: DataFrame) -> DataFrame:
+    return with_wire(packages).select(*WIRE.names)
+
+
 class DataLogger:
     """Writes the packages of a stream to `{name}_data_log`: Parquet by source, or one entry file each.
 
@@ -52,24 +54,18 @@ class DataLogger:
     def start(self, stream: DataFrame) -> None:
         if self.alive:
             return
-        directory, threads, files = self.output_directory, self.thread_count, self.entry_files
+        directory, threads = self.output_directory, self.thread_count
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            rows = with_wire(batch).select("source_id", "acquisition_time", "entry_key", "data")
-            if not files:
-                # A batch that runs again after a failure writes its own folder again.
-                rows.repartition(threads, "source_id").write.mode("overwrite").parquet(os.path.join(directory, f"batch={batch_id}"))
-                return
-
-            def save(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for part in parts:
-                    for key, data in zip(part["entry_key"], part["data"], strict=True):
-                        save_entry(directory, key, data)
-                    yield part[["entry_key"]]
-
-            rows.repartition(threads).mapInPandas(save, "entry_key string").count()
-
-        self.query = stream.writeStream.foreachBatch(write).option("checkpointLocation", self.checkpoint).trigger(processingTime=f"{self.poll_interval} milliseconds").start()
+            # A batch that runs again after a failure writes its own folder again.
+            _wire(batch).repartition(threads, "source_id").write.mode("overwrite").parquet(os.path.join(directory, f"batch={batch_id}"))
+
+        if self.entry_files:
+            register(stream.sparkSession)
+            writer = _wire(stream).repartition(threads).writeStream.format("npylog").option("path", directory)
+        else:
+            writer = stream.writeStream.foreachBatch(write)
+        self.query = writer.option("checkpointLocation", self.checkpoint).trigger(processingTime=f"{self.poll_interval} milliseconds").start()
 
     def check(self) -> None:
         if self.query is not None and self.query.exception() is not None:
