@@ -1,10 +1,17 @@
+import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.operators import archive
 from tidelog.schema import PACKAGE
+from tidelog.streaming.decode import decoded
 from tidelog.streaming.ingest import DataLogger, entry_stream, package_stream, read_log
+from tidelog.streaming.producers import InboxReader, Producer, producer_stream
 
 
 def put(spark, inbox, rows):
@@ -50,3 +57,104 @@ def test_a_failed_write_is_told(spark, tmp_path):
         logger.check()
     with pytest.warns(UserWarning, match="rig"):
         logger.stop()
+
+
+def taken(spark, logger):
+    return sorted((r.source_id, int(r.acquisition_time)) for r in read_log(spark, logger).collect())
+
+
+def test_many_producers_and_restarts(spark, tmp_path):
+    """Five writers at once, batches of few files, and two restarts from the checkpoint: each entry once."""
+    inbox = str(tmp_path / "inbox")
+    logger = DataLogger(str(tmp_path), "rig", thread_count=2)
+
+    def produce(k, start):
+        producer = Producer(inbox, f"rig{k}")
+        for t in range(start, start + 6):
+            producer.put([(k, 2 * t, b"a"), (k, 2 * t + 1, b"b")])
+
+    def all_at_once(start):
+        with ThreadPoolExecutor(5) as pool:
+            list(pool.map(lambda k: produce(k, start), range(5)))
+
+    for start in (0, 6, 12):
+        logger.start(producer_stream(spark, inbox, files_per_trigger=7))
+        all_at_once(start)
+        if start == 6:
+            logger.query.stop()  # without taking in what waits
+            logger.query = None
+        else:
+            logger.stop()
+    assert taken(spark, logger) == [(k, t) for k in range(5) for t in range(36)]
+    batches = [p for p in os.listdir(logger.output_directory) if p.startswith("batch=")]
+    assert len(batches) >= 90 // 7
+
+
+def test_admission_is_dealt_in_turn(tmp_path):
+    for name, n in (("a", 1), ("b", 9), ("c", 3)):
+        producer = Producer(str(tmp_path), name)
+        for k in range(n):
+            producer.put([(1, k, b"")])
+    reader = InboxReader({"path": str(tmp_path), "maxfilespertrigger": "6"})
+    ends = [reader.initialOffset()]
+    for _ in range(4):
+        ends.append(reader.latestOffset())
+        reader = InboxReader({"path": str(tmp_path), "maxfilespertrigger": "6"}) if len(ends) == 3 else reader
+        parts = reader.partitions(ends[-2], ends[-1])
+        assert sum(len(p.paths) for p in parts) == sum(ends[-1].values()) - sum(ends[-2].values())
+    assert ends == [{}, {"a": 1, "b": 3, "c": 2}, {"a": 1, "b": 8, "c": 3}, {"a": 1, "b": 9, "c": 3}, {"a": 1, "b": 9, "c": 3}]
+
+
+def test_producers_go_on_and_do_not_overwrite(tmp_path):
+    first, second = Producer(str(tmp_path), "x"), Producer(str(tmp_path), "x")
+    first.put([(1, 2**64 - 1, b"\0")])
+    with pytest.raises(FileExistsError):
+        second.put([(1, 2, b"")])
+    Producer(str(tmp_path), "x").put([])
+    reader = InboxReader({"path": str(tmp_path), "clean": "true"})
+    (part,) = reader.partitions({}, reader.latestOffset())
+    assert [len(batch) for batch in reader.read(part)] == [1] and sorted(os.listdir(tmp_path / "x"))[-1].startswith("0" * 19 + "1")
+    reader.commit({"x": 2})
+    assert [n for n in os.listdir(tmp_path / "x") if n.endswith(".arrow")] == ["0" * 19 + "1.arrow"]
+    again = InboxReader({"path": str(tmp_path), "clean": "true"})
+    assert again.latestOffset() == {"x": 2} and Producer(str(tmp_path), "x").next == 2
+    for bad in ("", ".x", "_x", "a/b"):
+        with pytest.raises(ValueError, match="name of a producer"):
+            Producer(str(tmp_path), bad)
+
+
+@pytest.mark.parametrize("entry_files", [False, True])
+def test_a_failure_is_raised_at_the_next_call(spark, tmp_path, entry_files):
+    logger = DataLogger(str(tmp_path), "rig", entry_files=entry_files)
+    logger.put((1, 1, b"x"), (2, 1, b"y"))
+    logger.start()
+    logger.query.processAllAvailable()
+    logger.put((999, 1, b"x"))
+    with pytest.raises(Exception, match="between 0 and 255"):
+        logger.query.awaitTermination(60)
+    with pytest.raises(ChildProcessError, match="rig failed in batch 1"):
+        for _ in range(100):
+            logger.put((1, 2, b"x"))
+            time.sleep(0.05)
+    with pytest.warns(UserWarning, match="rig"):
+        logger.stop()
+
+
+def test_messages_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    random = np.random.default_rng(2)
+    rows = [(s, 0, (1000 * s).to_bytes(8, "little")) for s in (1, 2, 3)] + [(s, int(t), bytes([s, t % 256])) for s in (1, 2, 3, 4) for t in range(1, 30)]
+    frame = spark.createDataFrame([(s, Decimal(t), bytearray(p)) for s, t, p in rows], PACKAGE)
+    want = sorted((r.source_id, int(r.timestamp_us), bytes(r.payload)) for r in archive.messages(frame.withColumn("entry_key", F.lit(""))).collect())
+    assert len(want) == 87  # nothing of source 4, which has no onset
+    for run in range(2):
+        inbox = str(tmp_path / f"inbox{run}")
+        producer = Producer(inbox, "p")
+        for k in random.permutation(len(rows)).reshape(7, -1):
+            producer.put([rows[i] for i in k])
+        out, seen = str(tmp_path / f"out{run}"), str(tmp_path / f"checkpoint{run}")
+        for _ in range(2):  # the second start finds nothing new
+            stream = decoded(producer_stream(spark, inbox, files_per_trigger=2))
+            query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).start()
+            query.processAllAvailable()
+            query.stop()
+        assert sorted((r.source_id, int(r.timestamp_us), bytes(r.payload)) for r in spark.read.parquet(out).collect()) == want

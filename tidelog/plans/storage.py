@@ -20,10 +20,13 @@ from tidelog.operators.discovery import walk_files
 from tidelog.operators.tracker import ProcessingTracker
 from tidelog.plans.base import query, table
 from tidelog.plans.entries import _PACKAGES, packages
-from tidelog.schema import PACKAGE, WIRE
+from tidelog.runtime import ship
+from tidelog.schema import MESSAGE, PACKAGE, WIRE
 from tidelog.sources import register
 from tidelog.sources.npz import Wanted
+from tidelog.streaming.decode import decoded
 from tidelog.streaming.ingest import DataLogger, package_stream, read_log
+from tidelog.streaming.producers import Producer, producer_stream
 
 
 def local_path(named: str) -> str:
@@ -87,6 +90,50 @@ def stream_ingest_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_log(spark, logger).select("source_id", F.col("acquisition_time").cast("long").alias("elapsed"), F.hex("data").alias("data"))
 
 
+def _inbox(spark: SparkSession, sf_dir: str, directory: str) -> str:
+    """The packages, put into an inbox by a producer in each of five tasks, in an order of their own."""
+    inbox = os.path.join(directory, "inbox")
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A task that runs again begins under another name; entries that are there twice have one key.
+        producer = Producer(inbox, f"task-{uuid.uuid4().hex}")
+        for part in parts:
+            producer.put(list(zip(part["source_id"], part["acquisition_time"], part["serialized_data"], strict=True)))
+        yield pd.DataFrame({"n": [producer.next]})
+
+    ship(spark)
+    rows = archive.last_write(packages(spark, sf_dir), "event_id").select(*PACKAGE.names)
+    rows.repartition(5, F.xxhash64("acquisition_time", "source_id")).mapInPandas(put, "n int").count()
+    return inbox
+
+
+@query(_STORED)
+def stream_many_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What several producers put into one inbox, taken in by a logger."""
+    directory = folder(spark)
+    inbox = _inbox(spark, sf_dir, directory)
+    logger = DataLogger(directory, "events")
+    logger.start(producer_stream(spark, inbox, files_per_trigger=4))
+    logger.stop()
+    logger.check()
+    return _shown(archive.as_packages(read_log(spark, logger).dropDuplicates(["entry_key"])))
+
+
+@query(f"SELECT s.source_id, us0 + elapsed AS timestamp_us, payload FROM ({_STORED}) s JOIN (SELECT (user_id % 256)::INT AS source_id, min(epoch_us(ts)) AS us0 FROM events GROUP BY 1) f ON s.source_id = f.source_id WHERE elapsed <> 0")
+def stream_decode_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with absolute times from a stream in which onsets come at any time."""
+    directory = folder(spark)
+    stream = producer_stream(spark, _inbox(spark, sf_dir, directory), files_per_trigger=2)
+    out = os.path.join(directory, "messages")
+    query = decoded(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", os.path.join(directory, "checkpoint")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = spark.read.schema(MESSAGE).parquet(out).dropDuplicates(["source_id", "timestamp_us"])
+    return rows.select("source_id", F.col("timestamp_us").cast("long").alias("timestamp_us"), F.hex("payload").alias("payload"))
+
+
 @query("SELECT n_name AS job_name, 'region_' || n_regionkey AS specifier, CASE WHEN n_nationkey % 3 = 0 THEN 2 WHEN n_nationkey % 3 = 1 THEN 3 ELSE 0 END::INT AS status FROM nation")
 def yaml_tracker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry file with a job for each nation, written, changed and read as a DataFrame."""
