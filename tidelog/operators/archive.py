@@ -7,10 +7,11 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec
+from tidelog.operators.cuts import ROWS, numbered
 from tidelog.sources import register
 from tidelog.sources.npz import Wanted
 from tidelog.sources.tree import walk
@@ -74,13 +75,16 @@ def message_counts(packages: DataFrame) -> DataFrame:
     return packages.groupBy("source_id").agg(F.count_if(F.col("acquisition_time") != 0).alias("messages"))
 
 
-def batches(packages: DataFrame, workers: int, multiplier: int = BATCHES_PER_WORKER) -> DataFrame:
-    """Entries other than onsets with a batch number: consecutive runs of each source in order of time."""
+def batches(packages: DataFrame, workers: int, multiplier: int = BATCHES_PER_WORKER, *, rows: int = ROWS) -> DataFrame:
+    """Entries other than onsets with a batch number: consecutive runs of each source in order of time.
+
+    A source with more than `rows` entries is numbered in parts, so that it does not fill one task.
+    """
     kept = packages.filter(F.col("acquisition_time") != 0)
     counts = kept.groupBy("source_id").agg(F.count("*").alias("total"))
-    number = F.row_number().over(Window.partitionBy("source_id").orderBy("acquisition_time"))
     size = F.when(F.col("total") < LEAST_SPLIT, F.col("total")).otherwise(F.greatest(F.lit(1), F.ceil(F.col("total") / (max(1, workers) * multiplier))))
-    return kept.withColumn("place", number).join(counts, "source_id").withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("place", "total")
+    placed = numbered(kept, "source_id", "acquisition_time", "place", rows).join(counts, "source_id")
+    return placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("place", "total")
 
 
 def mismatches(original: DataFrame, archived: DataFrame, value: str) -> DataFrame:

@@ -103,6 +103,8 @@ def entries_dedup_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.last_write(rows, "event_id").select("source_id", "acquisition_time", "value")
 
 
+#: Rows of the parts of a long source, small enough that these tables have several.
+PART_ROWS = 1000
 #: One source for each event type, so that some sources are long enough to be split.
 _TYPED = "SELECT event_id, event_type AS source_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place, count(*) OVER (PARTITION BY event_type) AS total FROM events"
 _BATCH = f"SELECT event_id, source_id, ((place - 1) // CASE WHEN total < 2000 THEN total ELSE greatest(1, ceil(total / 32.0)::BIGINT) END)::BIGINT AS batch FROM ({_TYPED})"
@@ -122,6 +124,13 @@ def archive_batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.batches(_typed(spark, sf_dir), workers=8).groupBy("source_id", "batch").agg(F.count("*").alias("messages"))
 
 
+@query("SELECT event_id, ((place - 1) // CASE WHEN total < 2000 THEN total ELSE ceil(total / 32.0)::BIGINT END)::BIGINT AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS total FROM events)")
+def archive_batches_one_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one source, which is numbered in parts."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("source_id"), (F.col("event_id") + 1).alias("acquisition_time"))
+    return archive.batches(rows, workers=8, rows=PART_ROWS // 4).select("event_id", "batch")
+
+
 _DAMAGED = """, dmg AS (SELECT source_id, t, CASE WHEN event_id % 97 = 0 THEN body || '00' ELSE body END AS theirs FROM wire WHERE event_id % 101 <> 0)
 SELECT coalesce(w.source_id, d.source_id)::INT AS source_id, coalesce(w.t, d.t)::BIGINT AS acquisition_time, w.body AS ours, d.theirs
 FROM wire w FULL JOIN dmg d ON w.source_id = d.source_id AND w.t = d.t WHERE w.body IS DISTINCT FROM d.theirs"""

@@ -1,4 +1,4 @@
-"""What Python workers need: this package, and bounds on the threads of numerical libraries."""
+"""What runs need: this package on workers, results that are kept, and bounds on the threads of numerical libraries."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import ExitStack, contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the libraries read at their start. Fixed values.
 THREAD_VARIABLES = (
@@ -69,3 +69,14 @@ def ship(spark: SparkSession) -> None:
                     archive.write(whole, os.path.relpath(whole, os.path.dirname(top)))
     context.addPyFile(path)
     context._tidelog_shipped = True  # noqa: SLF001
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, run once: its rows are in the checkpoint folder that executors share. For what comes out otherwise each time it runs."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():  # noqa: SLF001
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelog-"))
+    return df.checkpoint()
