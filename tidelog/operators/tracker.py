@@ -11,11 +11,15 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from enum import IntEnum, StrEnum
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidelog.functions.digest import job_id
+from tidelog.operators import discovery
 from tidelog.operators.config import YamlConfig
+from tidelog.runtime import ship
 from tidelog.schema import JOB
 from tidelog.sources.tree import walk
 
@@ -170,11 +174,6 @@ def histogram(jobs: DataFrame) -> DataFrame:
     return states.join(jobs.groupBy("status").agg(F.count("*").alias("jobs")), "status", "left").fillna(0, ["jobs"])
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Jobs (job_name, specifier, and any column to order by first) numbered in order, for registering."""
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(rows.columns[0])).cast("long"))
-
-
 # --- One registry in a file ---
 
 
@@ -190,7 +189,9 @@ class JobState:
 
 
 @dataclass
-class _Store(YamlConfig):
+class Registry(YamlConfig):
+    """What a registry's file holds."""
+
     jobs: dict[str, JobState] = field(default_factory=dict)
 
 
@@ -227,7 +228,7 @@ class ProcessingTracker:
                     if time.monotonic() > until:
                         raise TimeoutError(f"{self.file_path} is locked") from None
                     time.sleep(0.02)
-            store = _Store.from_yaml(self.file_path) if os.path.exists(self.file_path) else _Store()
+            store = Registry.from_yaml(self.file_path) if os.path.exists(self.file_path) else Registry()
             yield store.jobs
             if write:
                 store.to_yaml(self.file_path)
@@ -359,6 +360,25 @@ class ProcessingTracker:
         return numbers | {"status": resolve_status(numbers).value, "jobs": details}
 
 
+def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All registries with this file name below a directory: (registry, and the columns of JOB), one row for each job.
+
+    The tree is listed and the files are parsed in tasks; a file that is no registry is an error. Registries without jobs
+    give no rows.
+    """
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part["path"]:
+                jobs = Registry.from_yaml(path).jobs
+                rows = [(path, k, i, *(asdict(j)[c] for c in JOB.names[2:])) for k, (i, j) in enumerate(jobs.items())]
+                yield pd.DataFrame(rows, columns=["registry", *JOB.names]).astype({"started_at": "Int64", "completed_at": "Int64"})
+
+    ship(spark)
+    files = discovery.walk_files(spark, root).filter(F.col("name") == name).select("path")
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInPandas(parse, StructType([StructField("registry", StringType()), *JOB.fields]))
+
+
 def resolve_status(summary: dict[str, int]) -> Label:
     """label() for counts in a dictionary."""
     n = {k: summary.get(k, 0) for k in ("total", "succeeded", "failed", "running", "scheduled")}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.digest import job_id_of
-from tidelog.operators import tracker
+from tidelog.operators import tracker, transitions
 from tidelog.plans.base import micros, query, table
 from tidelog.schema import JOB
 
@@ -154,3 +154,22 @@ def job_id_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by XXH64 with seed 0, which SQL has no function for."""
     jobs = _jobs(spark, sf_dir)
     return jobs.select("ord", job_id_of(F.col("job_name"), F.col("specifier")).alias("job_id"))
+
+
+_STEPS = """WITH e AS (SELECT l_orderkey, (epoch_us(l_shipdate), l_linenumber, l_partkey, l_suppkey) AS seq, l_returnflag AS flag, epoch_us(l_shipdate) AS us, 'w' || l_suppkey AS executor, 'part ' || l_partkey AS message FROM lineitem),
+j AS (SELECT l_orderkey, max(seq) FILTER (WHERE flag = 'A') AS s, max(seq) FILTER (WHERE flag <> 'A') AS f, arg_max(us, seq) FILTER (WHERE flag = 'A') AS started, arg_max(executor, seq) FILTER (WHERE flag = 'A') AS executor,
+  arg_max(us, seq) FILTER (WHERE flag <> 'A') AS ended, arg_max(flag, seq) AS last, arg_max(message, seq) AS message FROM e GROUP BY l_orderkey)
+SELECT o_orderkey::VARCHAR AS job_id, o_orderpriority AS job_name, CASE last WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 0 END::INT AS status, coalesce(executor, '') AS executor_id,
+  CASE WHEN last = 'R' THEN message ELSE '' END AS error_message, coalesce(started, -1)::BIGINT AS started_at, CASE WHEN f IS NOT NULL AND (s IS NULL OR f > s) THEN ended ELSE -1 END::BIGINT AS completed_at
+FROM orders LEFT JOIN j ON o_orderkey = l_orderkey"""
+
+
+@query(_STEPS)
+def tracker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders register as jobs, and each line of an order is a transition, in order of shipping: A starts, N completes, R fails."""
+    zero, us = F.lit(0).cast("long"), micros("l_shipdate")
+    job, none = F.col("l_orderkey").cast("string"), F.lit(None).cast("string")
+    orders = table(spark, sf_dir, "orders").select(F.struct(*(zero.alias(c) for c in "abcd")).alias("seq"), F.col("o_orderkey").cast("string").alias("job_id"), F.lit("register").alias("kind"), F.col("o_orderpriority").alias("job_name"), F.lit("").alias("specifier"), none.alias("executor_id"), none.alias("message"), zero.alias("at"))
+    kind = F.when(F.col("l_returnflag") == "A", "start").when(F.col("l_returnflag") == "N", "complete").otherwise("fail")
+    lines = table(spark, sf_dir, "lineitem").select(F.struct(us.alias("a"), F.col("l_linenumber").cast("long").alias("b"), F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("d")).alias("seq"), job.alias("job_id"), kind.alias("kind"), none.alias("job_name"), none.alias("specifier"), F.concat(F.lit("w"), F.col("l_suppkey").cast("string")).alias("executor_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("message"), us.alias("at"))
+    return transitions.replayed(orders.unionByName(lines)).select("job_id", "job_name", "status", "executor_id", "error_message", "started_at", "completed_at").fillna("", ["executor_id", "error_message"]).fillna(-1, ["started_at", "completed_at"])

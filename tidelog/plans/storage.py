@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec
-from tidelog.operators import archive, integrity
+from tidelog.functions.digest import job_id
+from tidelog.operators import archive, integrity, tracker
 from tidelog.operators.discovery import walk_files
-from tidelog.operators.tracker import ProcessingTracker
+from tidelog.operators.tracker import JobState, Registry
 from tidelog.plans.base import query, table
 from tidelog.plans.entries import _PACKAGES, packages
 from tidelog.runtime import ship
 from tidelog.schema import MESSAGE, PACKAGE, WIRE
 from tidelog.sources import register
 from tidelog.sources.npz import Wanted
+from tidelog.streaming import compact
 from tidelog.streaming.decode import decoded
 from tidelog.streaming.ingest import DataLogger, package_stream, read_log
 from tidelog.streaming.producers import Producer, producer_stream
@@ -119,6 +121,20 @@ def stream_many_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(archive.as_packages(read_log(spark, logger).dropDuplicates(["entry_key"])))
 
 
+@query(_STORED)
+def log_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of many small batches, packed while it grows and once more at its end."""
+    directory = folder(spark)
+    inbox = _inbox(spark, sf_dir, directory)
+    logger = DataLogger(directory, "events")
+    logger.start(producer_stream(spark, inbox, files_per_trigger=1))
+    logger.stop()
+    logger.check()
+    compact.compact(spark, logger.output_directory)
+    compact.compact(spark, logger.output_directory, last=True)
+    return _shown(archive.as_packages(read_log(spark, logger)))
+
+
 @query(f"SELECT s.source_id, us0 + elapsed AS timestamp_us, payload FROM ({_STORED}) s JOIN (SELECT (user_id % 256)::INT AS source_id, min(epoch_us(ts)) AS us0 FROM events GROUP BY 1) f ON s.source_id = f.source_id WHERE elapsed <> 0")
 def stream_decode_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with absolute times from a stream in which onsets come at any time."""
@@ -134,17 +150,36 @@ def stream_decode_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", F.col("timestamp_us").cast("long").alias("timestamp_us"), F.hex("payload").alias("payload"))
 
 
-@query("SELECT n_name AS job_name, 'region_' || n_regionkey AS specifier, CASE WHEN n_nationkey % 3 = 0 THEN 2 WHEN n_nationkey % 3 = 1 THEN 3 ELSE 0 END::INT AS status FROM nation")
+def _registries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry file for each nation, written in tasks, with its customers as jobs; then all of them found and read."""
+    top = folder(spark)
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        own = os.path.join(top, f"nation_{part['nation'].iloc[0]}", "jobs")
+        os.makedirs(own, exist_ok=True)
+        part = part.sort_values("customer")
+        ids = [job_id(*job) for job in zip(part["name"], part["segment"], strict=True)]
+        states = [JobState(n, s, int(k % 4)) for n, s, k in zip(part["name"], part["segment"], part["customer"], strict=True)]
+        Registry(dict(zip(ids, states, strict=True))).to_yaml(os.path.join(own, "tracker.yaml"))
+        return part[["customer"]]
+
+    ship(spark)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    customers.groupBy("nation").applyInPandas(write, "customer long").count()
+    return tracker.scan(spark, top, "tracker.yaml").withColumn("nation", F.regexp_extract("registry", r"nation_(\d+)", 1).cast("int"))
+
+
+@query("SELECT c_nationkey AS nation, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::BIGINT AS ord, c_name AS job_name, c_mktsegment AS specifier, (c_custkey % 4)::INT AS status FROM customer")
 def yaml_tracker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registry file with a job for each nation, written, changed and read as a DataFrame."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit("region_"), "n_regionkey").alias("specifier")).orderBy("n_nationkey").collect()
-    tracker = ProcessingTracker(os.path.join(folder(spark), "jobs.yaml"))
-    for row, job in zip(rows, tracker.initialize_jobs([(r["n_name"], r["specifier"]) for r in rows]), strict=True):
-        if row["n_nationkey"] % 3 == 0:
-            tracker.complete_job(job)
-        elif row["n_nationkey"] % 3 == 1:
-            tracker.fail_job(job, "failed")
-    return tracker.frame(spark).select("job_name", "specifier", "status")
+    """Many registry files as one DataFrame."""
+    return _registries(spark, sf_dir).select("nation", "ord", "job_name", "specifier", "status")
+
+
+@query("""SELECT nation, CASE WHEN failed > 0 THEN 'failed' WHEN succeeded = total THEN 'completed' WHEN running > 0 THEN 'processing' WHEN scheduled = total THEN 'not_started' ELSE 'in_progress' END AS label, total FROM (
+SELECT c_nationkey AS nation, count(*) AS total, count(*) FILTER (WHERE c_custkey % 4 = 3) AS failed, count(*) FILTER (WHERE c_custkey % 4 = 2) AS succeeded, count(*) FILTER (WHERE c_custkey % 4 = 1) AS running, count(*) FILTER (WHERE c_custkey % 4 = 0) AS scheduled FROM customer GROUP BY 1)""")
+def yaml_tracker_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of each registry file."""
+    return tracker.summarized(_registries(spark, sf_dir), "nation").select("nation", "label", "total")
 
 
 @query()

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tidelog.functions.codec import with_wire
 from tidelog.schema import PACKAGE, WIRE
 from tidelog.sources import register
+from tidelog.streaming import compact
 from tidelog.streaming.producers import Producer, producer_stream
 
 
@@ -139,5 +140,5 @@ class DataLogger:
 
 
 def read_log(spark: SparkSession, logger: DataLogger) -> DataFrame:
-    """The entries that a logger has written as Parquet."""
-    return spark.read.parquet(logger.output_directory).drop("batch")
+    """The entries that a logger has written as Parquet, packed or not."""
+    return compact.read(spark, logger.output_directory)
