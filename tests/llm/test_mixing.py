@@ -58,3 +58,19 @@ def test_documents_of_the_mix(spark):
         words[r.doc_id] += len((r.text or "").split())
     assert {i: n for i, n in words.items() if n} == {i: r.taken for i, r in plan.items() if r.taken}
     assert {98, 99} <= set(words)
+
+
+def test_reruns_over_shuffled_rows_agree(spark):
+    """Ties on id and size with other texts, and on the text too with another language."""
+    rows = [(7, f"w{k} and more", "a", f"l{k % 3}") for k in range(40)] + [(7, "one text here", "a", f"l{k}") for k in range(9)] + [(None, f"n{k} x", "b", "l") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    runs = [sorted(map(str, mixing.mixed(docs.repartition(5).orderBy(F.rand(seed))).collect())) for seed in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    plans = [sorted(map(str, mixing.mix(docs.orderBy(F.rand(seed))).collect())) for seed in range(2)]
+    assert plans[0] == plans[1]
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    docs = spark.range(40_000).selectExpr("if(id % 2 = 0, null, 5) as doc_id", "concat('w ', id) as text", "'hot' as source")
+    sizes = [r["count"] for r in mixing._placed(docs, "doc_id", "text", "source", "mix", carry=False).groupBy("range").count().collect()]
+    assert len(sizes) == 256 and max(sizes) < 2 * 40_000 / 256

@@ -60,7 +60,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_all_operators_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 

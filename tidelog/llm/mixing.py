@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key. The keys of a source are dealt to ranges; sums of the ranges
+Each document gets a hash-random key, of its id and its text. The keys of a source are dealt to ranges; sums of the ranges
 give each range its start in the source's sequence, and sums within a range give each document its
 own. A source takes its whole sequence as often as its target holds it, and then cuts the sequence
 at what is left of the target. The ranges split a hot source, so no task holds more than a range.
@@ -8,6 +8,8 @@ at what is left of the target. The ranges split a hot source, so no task holds m
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from tidelog.llm.common import saved
 WEIGHTS = (5, 2, 1)
 #: No target is above so many times the size of its source.
 MOST_EPOCHS = 3
-#: Hex digits of the key that name a range: 4096 ranges for a source.
-RANGE_DIGITS = 3
+#: Rows of a range, about; a range is named by the first hex digits of the key, of which there are two at least.
+RANGE_ROWS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,8 +53,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     epochs is how often the whole document is taken, part the words of one more, cut copy. The words taken of a source
     are its target without the fraction. A null source is a source of its own, a null text has no words, a null id is
-    keyed as the empty text. Rows that are equal in all of these share the words of their places in any order. Other
-    columns are not read. An empty table gives an empty result.
+    keyed as the empty text. The key is that of id and text, so rows that share an id, or have none, are spread and ordered
+    like others; rows that are equal in both share the words of their places in any order. Other columns are not read. An
+    empty table gives an empty result.
     """
     placed = _placed(docs, doc_id, text, source, salt, carry=False)
     return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken"), "source", "epochs", "part")
@@ -60,11 +63,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 def _placed(docs: DataFrame, doc_id: str, text: str, source: str, salt: str, *, carry: bool) -> DataFrame:
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.md5(F.concat(F.lit(salt), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    # Rows of one id and text that are carried are told apart by their other columns, as far as Spark can hash them.
+    rest = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)) if carry else F.lit(0)
     whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] * carry
+    digits = max(2, math.ceil(math.log(max(1, docs.count() / RANGE_ROWS), 16)))
     sized = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *whole)
-        .withColumn("key", F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-        .withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), key.alias("key"), rest.alias("rest"), *whole)
+        .withColumn("range", F.substring("key", 1, digits))
     )
     if not carry:
         sized = saved(sized)
@@ -75,7 +81,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, source: str, salt: str, *,
     plan = saved(
         starts.join(goals, starts.source.eqNullSafe(goals.source)).select(starts.source.alias("of"), F.col("range").alias("in"), "start", "source_size", "target")
     )
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "rest").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(plan, placed.source.eqNullSafe(F.col("of")) & (placed.range == F.col("in")))
     budget = F.floor("target").cast("long")
@@ -88,7 +94,8 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     """The documents of the mix, with the columns of docs: a row for each time that one is taken.
 
     A copy that the budget cuts ends with the last word taken; documents without a word are kept once, as they weigh
-    nothing. Rows that share an id are told apart as in mix().
+    nothing. Rows that share an id are told apart as in mix(), those that share a text too by their other columns, so reruns
+    agree whatever order the rows come in.
     """
     placed = _placed(docs, doc_id, text, source, salt, carry=True)
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
@@ -101,7 +108,7 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
