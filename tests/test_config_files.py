@@ -1,10 +1,14 @@
 import enum
+import importlib.machinery
 import os
+import sys
+import types
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from tidelog import runtime
@@ -199,3 +203,31 @@ def test_threads(monkeypatch):
     with pytest.raises(ValueError):
         runtime.initialize_worker_threads(0)
     assert runtime.thread_settings(3)["spark.executorEnv.OMP_NUM_THREADS"] == "3"
+
+
+def test_numba_is_told(monkeypatch):
+    told = []
+    numba = types.ModuleType("numba")
+    numba.config, numba.set_num_threads = types.SimpleNamespace(NUMBA_NUM_THREADS=3), told.append
+    numba.__spec__ = importlib.machinery.ModuleSpec("numba", None)
+    monkeypatch.setitem(sys.modules, "numba", numba)
+    for name in runtime.THREAD_VARIABLES:
+        monkeypatch.setenv(name, "x")
+    runtime.initialize_worker_threads(2)
+    runtime.initialize_worker_threads(8)
+    assert told == [2, 3]
+
+
+def test_what_yaml_does_not_know(tmp_path):
+    @dataclass
+    class Odd(config.YamlConfig):
+        value: object = None
+
+    shared = [1, 2]
+    Odd({"a": shared, "b": shared, "c": (1, (2,))}).to_yaml(tmp_path / "x.yaml")
+    text = (tmp_path / "x.yaml").read_text()
+    assert "&" not in text and "*" not in text and "!!" not in text
+    assert Odd.from_yaml(tmp_path / "x.yaml").value == {"a": [1, 2], "b": [1, 2], "c": [1, [2]]}
+    with pytest.raises(yaml.YAMLError):
+        Odd(object()).to_yaml(tmp_path / "y.yaml")
+    assert not list(tmp_path.glob("y*"))

@@ -158,8 +158,10 @@ def read_archive_message_count(archive_path: str) -> int:
     return archive.archive_message_count(session(), str(archive_path))
 
 
-def assemble_log_archives(log_directory: str, *, remove_sources: bool = True, verify_integrity: bool = False) -> list[str]:
-    return archive.assemble_log_archives(session(), str(log_directory), remove_sources=remove_sources, verify_integrity=verify_integrity)
+def assemble_log_archives(log_directory: str, max_workers: int | None = None, *, remove_sources: bool = True, memory_mapping: bool = True, verbose: bool = False, verify_integrity: bool = False) -> list[str]:
+    """max_workers bounds the tasks that write archives. Entries are streamed, so memory_mapping has nothing to change;
+    verbose is the session's own progress display."""
+    return archive.assemble_log_archives(session(), str(log_directory), remove_sources=remove_sources, verify_integrity=verify_integrity, tasks=max_workers)
 
 
 #: Coordinates of a series that one task aligns.
@@ -180,11 +182,13 @@ def interpolate_data(source_coordinates: np.ndarray, source_values: np.ndarray,
     return np.array([r["v"] for r in rows], source_values.dtype if is_discrete else np.float64)
 
 
-def calculate_directory_checksum(directory: str, *, save_checksum: bool = True, excluded_files: set[str] | None = None) -> str:
+def calculate_directory_checksum(directory: str, num_processes: int | None = None, *, progress: bool = False, save_checksum: bool = True, excluded_files: set[str] | None = None) -> str:
+    """Spark's own tasks hash the files: num_processes and progress are taken for callers of that signature and change nothing."""
     return integrity.directory_checksum(session(), str(directory), save=save_checksum, excluded=excluded_files)
 
 
-def transfer_directory(source: str, destination: str, *, verify_integrity: bool = False, remove_source: bool = False, reset_dirty_destination: bool = False) -> None:
+def transfer_directory(source: str, destination: str, num_threads: int = 1, *, verify_integrity: bool = False, remove_source: bool = False, progress: bool = False, reset_dirty_destination: bool = False) -> None:
+    """num_threads and progress are taken as in calculate_directory_checksum()."""
     transfer.transfer_directory(session(), str(source), str(destination), verify_integrity=verify_integrity, remove_source=remove_source, reset_dirty_destination=reset_dirty_destination)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -42,10 +44,11 @@ def file_digests(paths: pd.Series, rel_paths: pd.Series) -> pd.Series:
     return pd.Series([file_digest(p, r) for p, r in zip(paths, rel_paths, strict=True)], dtype=object)
 
 
-def folded(rows: list[tuple[str, bytes]]) -> str:
-    """The digest of (relative path, digest) pairs in order of the path as text."""
-    state = xxhash.xxh3_128()
-    for rel_path, digest in sorted(rows):
+def folded(rows: Iterable[tuple[str, bytes]]) -> str | None:
+    """The digest of (relative path, digest) pairs that come in order of the path as text; None if there is none."""
+    state, some = xxhash.xxh3_128(), False
+    for rel_path, digest in rows:
         state.update(rel_path.encode())
         state.update(digest)
-    return state.hexdigest()
+        some = True
+    return state.hexdigest() if some else None

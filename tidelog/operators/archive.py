@@ -134,7 +134,7 @@ def as_packages(wire: DataFrame) -> DataFrame:
     return wire.select("source_id", "acquisition_time", codec.payload_of(data).alias("serialized_data"), "entry_key", *place)
 
 
-def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sources: bool = True, verify_integrity: bool = False) -> list[str]:
+def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sources: bool = True, verify_integrity: bool = False, tasks: int | None = None) -> list[str]:
     """Consolidate the entry files of a log directory into one archive for each source; returns the archives.
 
     Each source goes to one task in order of time and is streamed to its archive, so no source has to fit in memory.
@@ -145,7 +145,7 @@ def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sou
     sources = sorted(row["source_id"] for row in entries.select("source_id").distinct().collect())  # a byte: 256 at most
     if not sources:
         return []
-    ordered = entries.repartition("source_id").sortWithinPartitions("source_id", "acquisition_time", "entry_key")
+    ordered = entries.repartition(*([max(1, tasks)] if tasks is not None else []), "source_id").sortWithinPartitions("source_id", "acquisition_time", "entry_key")
     ordered.write.format("npzlog").mode("append").save(log_directory)
     written = sorted(os.path.join(log_directory, f"{source}_log.npz") for source in sources)
     if verify_integrity:

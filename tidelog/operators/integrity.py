@@ -23,13 +23,13 @@ def digests(spark: SparkSession, directory: str, excluded: set[str] = frozenset(
 def directory_checksum(spark: SparkSession, directory: str, *, save: bool = True, excluded: set[str] | None = None) -> str:
     """The digest of all files in order of their relative paths. ValueError if there is none.
 
-    The fold over the files' digests is in one place: 16 bytes and a path for each file.
+    Files are hashed and sorted in tasks; the fold, which is one chain, takes their digests as they come, a part at a time.
     """
     names = {CHECKSUM_FILE} | (excluded or set())
-    rows = [(r["rel_path"], bytes(r["digest"])) for r in digests(spark, directory, names).toLocalIterator()]
-    if not rows:
+    ordered = digests(spark, directory, names).orderBy("rel_path")  # by UTF-8 bytes, which is by code points
+    checksum = folded((r["rel_path"], bytes(r["digest"])) for r in ordered.toLocalIterator(prefetchPartitions=True))
+    if checksum is None:
         raise ValueError(f"{directory} has no files")
-    checksum = folded(rows)
     if save:
         with open(os.path.join(directory, CHECKSUM_FILE), "w") as file:
             file.write(checksum)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions import maps
 from tidelog.functions.digest import job_id_of
 from tidelog.operators import tracker, transitions
 from tidelog.plans.base import micros, query, table
@@ -173,3 +174,13 @@ def tracker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "start").when(F.col("l_returnflag") == "N", "complete").otherwise("fail")
     lines = table(spark, sf_dir, "lineitem").select(F.struct(us.alias("a"), F.col("l_linenumber").cast("long").alias("b"), F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("d")).alias("seq"), job.alias("job_id"), kind.alias("kind"), none.alias("job_name"), none.alias("specifier"), F.concat(F.lit("w"), F.col("l_suppkey").cast("string")).alias("executor_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("message"), us.alias("at"))
     return transitions.replayed(orders.unionByName(lines)).select("job_id", "job_name", "status", "executor_id", "error_message", "started_at", "completed_at").fillna("", ["executor_id", "error_message"]).fillna(-1, ["started_at", "completed_at"])
+
+
+@query("SELECT o_custkey AS customer, printf('%016x', o_orderkey) AS job_id, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END::INT AS status FROM orders")
+def jobs_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as a map from key to state, whose keys become ids; then its entries as rows."""
+    status = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1).otherwise(0)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), "o_orderkey", status.alias("status"))
+    jobs = maps.mapped(orders, "customer", "o_orderkey", "status")
+    jobs = jobs.withColumn("entries", maps.converted_keys("entries", lambda k: F.lpad(F.lower(F.hex(k)), 16, "0")))
+    return maps.entries(jobs, "entries", "job_id", "status")
