@@ -86,3 +86,38 @@ def test_reruns_agree(spark):
     data = table(spark, "/root/testdata/sf0.01", "embeddings")
     runs = [shown(hardneg.hard_negatives(data.orderBy(F.rand(seed)), F.col("vec_id") % 100 == 0)) for seed in (1, 2)]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 8192])
+def test_chunks_of_a_shard_change_nothing(monkeypatch, chunk):
+    """Thresholds are carried from chunk to chunk; what is cut off can't be among the first."""
+    monkeypatch.setattr(hardneg, "CHUNK", chunk)
+    random = np.random.default_rng(chunk)
+    codes = random.integers(-9, 10, (300, 7))
+    codes[::4] = codes[0]  # ties
+    ids, labels = random.permutation(300), random.integers(0, 3, 300)
+    books = hardneg.fit(codes[:40])
+    words, rest = hardneg.encode(codes, books)
+    shard = hardneg.Shard(pa.table({"id": ids, "label": labels, "code": hardneg._blobs(codes.astype(np.int32)), "words": hardneg._blobs(words), "rest": hardneg._blobs(rest)}), books)
+    rows = sorted(zip(ids.tolist(), labels.tolist(), codes.tolist(), strict=True))
+    asked = [r for r in rows if r[0] % 30 == 0]
+    anchors = {"id": np.array([r[0] for r in asked]), "label": np.array([r[1] for r in asked]), "key": np.arange(len(asked)), "code": np.array([r[2] for r in asked])}
+
+    def first(scored):
+        return [(j, s) for s, j in sorted((-s, j) for j, s in scored)[:5]]
+
+    def product(one, two):
+        return sum(a * b for a, b in zip(one, two, strict=True))
+
+    near = {k: first([(j, product(a[2], v)) for j, label, v in rows if label == a[1] and j != a[0]]) for k, a in enumerate(asked)}
+    got = hardneg.positives(shard, anchors, 5).to_pylist()
+    assert sorted((r["key"], -r["score"], r["other"]) for r in got) == sorted((k, s, j) for k, own in near.items() for j, s in own)
+    scores = np.array([[-s for _, s in near[k]] for k in range(len(asked))])
+    anchors |= {"low": -(-80 * scores // 100), "high": scores}
+    got = hardneg.negatives(shard, anchors, 5).to_pylist()
+    want = []
+    for k, a in enumerate(asked):
+        others = [(j, product(a[2], v)) for j, label, v in rows if label != a[1]]
+        for w, p in enumerate(scores[k].tolist()):
+            want += [(k, w, s, j) for j, s in first([(j, n) for j, n in others if 80 * p <= 100 * n <= 100 * p])]
+    assert sorted((r["key"], r["place"], -r["score"], r["other"]) for r in got) == sorted(want)

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 from hypothesis import given, settings
@@ -67,3 +68,28 @@ def test_edges_of_the_input(spark):
     nothing = language.identify(docs, language.learn(docs.limit(0))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert language.identify(docs.limit(0), language.learn(docs)).count() == 0
+
+
+def test_predictions_are_those_of_brute_force(spark):
+    """Profiles, distances, ties and scores by plain counting over all documents that are not held out."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    sums = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            sums.setdefault(r.lang, Counter()).update(slow_grams(r.text))
+
+    def profile(counts):
+        ranked = sorted(counts, key=lambda g: (-counts[g], code(g)))[: language.RANKS]
+        return {g: rank for rank, g in enumerate(ranked)}
+
+    profiles = {lang: profile(counts) for lang, counts in sorted(sums.items())}
+    want = {}
+    for r in rows:
+        own = profile(slow_grams(r.text or ""))
+        far = {lang: sum(abs(p[g] - rank) if g in p else language.RANKS for g, rank in own.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        want[r.doc_id] = (best, 1 - far[best] / (language.RANKS * len(own))) if own else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.learn(docs)).collect()}
+    assert len(profiles) == 4 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
