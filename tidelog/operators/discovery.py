@@ -8,7 +8,7 @@ from functools import partial, reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -76,7 +76,8 @@ def walk_files(spark: SparkSession, directory: str) -> DataFrame:
     return walk_directory(spark, directory).filter("kind = 'file'")
 
 
-def marker_files(listing: DataFrame, marker: str) -> DataFrame:
+def marker_files(listing: DataFrame, marker: str | Column) -> DataFrame:
+    """The files of a name, in order of path."""
     return listing.filter((F.col("name") == marker) & (F.col("kind") == "file")).select("path").orderBy("path")
 
 

@@ -27,7 +27,7 @@ def path_depth_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PATHS + " SELECT path FROM l WHERE string_split(path, '/')[-1] = (SELECT max(string_split(path, '/')[-1]) FROM l)")
 def marker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = _listed(spark, sf_dir)
-    return discovery.marker_files(listing, listing.agg(F.max("name")).first()[0])
+    return discovery.marker_files(listing, listing.agg(F.max("name")).scalar())
 
 
 @query(_PATHS + " SELECT DISTINCT array_to_string(string_split(path, '/')[:-3], '/') AS root FROM l")
