@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidelog.llm import suffixes
-from tidelog.llm.common import text_bytes
+from tidelog.llm.common import table, text_bytes
 
 
 def slow(texts, length):
@@ -108,3 +109,46 @@ def test_very_many_equal_rows(spark):
     got = suffixes.remove_repeats(docs).collect()
     assert time.perf_counter() - began < 60
     assert Counter((r.n_bytes, r.n_removed, r.n_spans) for r in got) == {(len(text), len(text), 1): 2000, (601, 600, 1): 1, (4, 0, 0): 2}
+
+
+def windows(texts, length=400):
+    """What op3 must return for texts, by counting all windows of so many bytes by their hash."""
+    seen = Counter()
+    for raw in texts.values():
+        seen.update(xxhash.xxh3_64_intdigest(raw[i : i + length]) for i in range(len(raw) - length + 1))
+    out = {}
+    for doc, raw in texts.items():
+        gone = np.zeros(len(raw) + 1, np.int64)
+        for i in range(len(raw) - length + 1):
+            if seen[xxhash.xxh3_64_intdigest(raw[i : i + length])] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        removed = np.cumsum(gone)[:-1] > 0
+        left = np.frombuffer(raw, np.uint8)[~removed].tobytes()
+        spans = int((np.diff(np.concatenate(([0], removed.astype(np.int8)))) == 1).sum())
+        out[doc] = (len(raw), int(removed.sum()), spans, hashlib.sha256(left).hexdigest())
+    return out
+
+
+def test_planted_passages_in_a_whole_table(spark):
+    """Passages of 60 words in two to forty documents, copies, and near copies with a word changed, among all documents of a table."""
+    random.seed(12)
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(5, 9)))
+    clean = [(10_000 + k, " ".join(word() for _ in range(300))) for k in range(40)]
+    planted, k = [], 20_000
+    for times in (2, 2, 3, 5, 40):
+        passage = " ".join(word() for _ in range(60))
+        for _ in range(times):
+            planted.append((k, " ".join(word() for _ in range(50)) + " " + passage + " " + " ".join(word() for _ in range(50))))
+            k += 1
+    whole = " ".join(word() for _ in range(250)).split()
+    copies = [(30_000 + k, " ".join(whole)) for k in range(4)] + [(31_000 + k, " ".join(whole[: 50 * k] + [word()] + whole[50 * k + 1 :])) for k in range(5)]
+    data = rows + clean + planted + copies
+    random.shuffle(data)
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(frame).collect()}
+    assert got == windows({doc: (text or "").encode() for doc, text in data})
+    assert all(got[doc][1] == 0 for doc, _ in clean)
+    assert all(got[doc][1] >= 400 and got[doc][2] == 1 for doc, _ in planted)
+    assert all(got[30_000 + k][1] == got[30_000 + k][0] for k in range(4))
