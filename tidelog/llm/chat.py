@@ -98,9 +98,10 @@ def layout_of(record: Column, layouts: dict[str, Layout] = LAYOUTS) -> Column:
             if names.setdefault(fingerprint(shape), name) != name:
                 raise ValueError(f"{name} and {names[fingerprint(shape)]} have a shape in common: {sorted(shape)}")
     known = sorted({p for layout in layouts.values() for p in layout.needs + layout.may})
-    paths = F.array_intersect(field_paths(record), F.array(*map(F.lit, known)))
-    exact = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in names.items())), F.xxhash64(F.array_join(F.array_sort(paths), "\n")))
-    within = [F.when(F.size(F.array_except(F.array(*map(F.lit, layout.needs)), paths)) == 0, F.lit(name)) for name, layout in layouts.items() if layout.needs]
+    paths = F.array_intersect(field_paths(record), F.lit(known))
+    by_print = F.expr("map(" + ", ".join(f"cast('{k}' as bigint), {_quoted(v)}" for k, v in names.items()) + ")")
+    exact = F.try_element_at(by_print, F.xxhash64(F.array_join(F.array_sort(paths), "\n")))
+    within = [F.when(F.size(F.array_except(F.lit(list(layout.needs)), paths)) == 0, name) for name, layout in layouts.items() if layout.needs]
     return F.when(F.size(paths) > 0, F.coalesce(exact, *within))
 
 
@@ -150,11 +151,15 @@ def turns(records: DataFrame, *, conv: str = "conv_id", turn: str = "turn", reco
     return rows.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.coalesce("place", F.lit(0)).alias("place"), "layout", "said.role", "said.text")
 
 
-def escaped(text: Column, *, line: bool = False) -> Column:
+def _quoted(text: str) -> str:
+    """A literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def escaped(column: str, *, line: bool = False) -> Column:
     r"""A backslash becomes \b, and each control string gets \z after its first character; `line`: a line feed becomes \n."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\b"))
-    out = reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(f"{s[0]}\\z{s[1:]}")), CONTROL, out)
-    return F.replace(out, F.lit("\n"), F.lit("\\n")) if line else out
+    changes = [("\\", "\\b"), *((s, f"{s[0]}\\z{s[1:]}") for s in CONTROL), *[("\n", "\\n")] * line]
+    return F.expr(reduce(lambda sql, change: f"replace({sql}, {_quoted(change[0])}, {_quoted(change[1])})", changes, f"`{column}`"))
 
 
 def unescaped(text: Column, *, line: bool = False) -> Column:
@@ -172,8 +177,8 @@ def formatted(said: DataFrame, *, conv: str = "conv_id", turn: str = "turn", lea
     understood) are no turns. A conversation is one text, so it must fit into a row.
     """
     rows = said.filter(F.col("role").isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), "place", "role", F.coalesce("text", F.lit("")).alias("text"))
-    head = F.concat(F.lit(START), escaped(F.col("role"), line=True), F.lit("\n"))
-    rows = rows.withColumn("head", F.length(head).cast("long")).withColumn("piece", F.concat(head, escaped(F.col("text")), F.lit(END)))
+    rows = rows.withColumn("head", F.concat(F.lit(START), escaped("role", line=True), F.lit("\n")))
+    rows = rows.withColumn("piece", F.concat("head", escaped("text"), F.lit(END))).withColumn("head", F.length("head").cast("long"))
     order = Window.partitionBy("conv").orderBy("turn", "place", "role", "text")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("end", F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("end") - F.length("piece")
