@@ -152,3 +152,16 @@ def test_planted_passages_in_a_whole_table(spark):
     assert all(got[doc][1] == 0 for doc, _ in clean)
     assert all(got[doc][1] >= 400 and got[doc][2] == 1 for doc, _ in planted)
     assert all(got[30_000 + k][1] == got[30_000 + k][0] for k in range(4))
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    """What counts is bytes and not words: of passages of 60 words, one of 399 bytes stays and one of 400 goes, and n_bytes is the length before."""
+    random.seed(21)
+    word = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for size in (399, 400):
+        passage = " ".join([*(word(5) for _ in range(59)), word(size - 59 * 6)])
+        assert len(passage) == size and len(passage.split()) == 60
+        rows += [(size * 10 + k, f"{word(300)}{k}{passage}{k}{word(300)}") for k in range(2)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3990: (1001, 0), 3991: (1001, 0), 4000: (1002, 400), 4001: (1002, 400)}
