@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import linededup, mixing, pieces, quality, simhash
-from tidelog.llm.common import saved, table
+from tidelog.llm.common import ARROW_BYTES, saved, table
 
 #: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
+#: Bytes of the Arrow batches of all stages; the executor's JVM and each Python worker hold a few of them at a time.
+STAGE_BATCH = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_portions(stage: Stage) -> Stage:
+    """The stage with Arrow batches of STAGE_BATCH bytes at most, or of one row. The session keeps the setting, as the result runs later."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(ARROW_BYTES, STAGE_BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -44,11 +62,11 @@ def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality", good_quality),
-    ("lines", fresh_lines),
-    ("simhash", one_of_each_group),
-    ("mixing", mixed_sources),
-    ("pieces", token_digests),
+    ("quality", _in_portions(good_quality)),
+    ("lines", _in_portions(fresh_lines)),
+    ("simhash", _in_portions(one_of_each_group)),
+    ("mixing", _in_portions(mixed_sources)),
+    ("pieces", _in_portions(token_digests)),
 ]
 
 

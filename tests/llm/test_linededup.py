@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,16 @@ def test_sets_of_lines(monkeypatch):
     assert np.isin(1, 1)
 
 
+def test_gathered_columns_are_not_held_twice():
+    tracemalloc.start()
+    gathered = [[np.full(10_000, k, np.uint64) for _ in range(12)] for k in range(20)]
+    size = tracemalloc.get_traced_memory()[0]
+    columns = linededup.joined(gathered)
+    assert tracemalloc.get_traced_memory()[1] < 1.2 * size
+    tracemalloc.stop()
+    assert all((c == np.repeat(np.arange(20), 10_000)).all() for c in columns) and not gathered
+
+
 def test_edges_of_the_input(spark):
     long = "\n".join(f"{k} {k + 1} {k + 2} {k + 3} {k + 4}" for k in range(20_000)) + "\n" + "y" * 100_000
     rows = [(1, None, "a"), (2, "", "b"), (None, "one two three four five", "c"), (3, "one two three four five", "d"), (4, "x\nFive one two three four", None), (7, long, "e"), (8, long, "f"), (9, "same row of five words", "g"), (9, "same row of five words", "g")]

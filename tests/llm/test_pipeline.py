@@ -5,14 +5,16 @@ import sys
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
+from pyspark.sql import functions as F
 from test_linededup import slow as slow_lines
 from test_simhash import slow_classes, slow_print
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tidelog.llm import quality
-from tidelog.llm.common import table
+from tidelog.llm.common import ARROW_BYTES, table
 
 SF = "/root/testdata/sf0.001"
 HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -58,6 +60,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_stages_get_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.concat(F.lit("word"), "id"), 1000).alias("text"))
+    before = spark.conf.get(ARROW_BYTES)
+    try:
+        for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[-1]):
+            spark.conf.unset(ARROW_BYTES)
+            stage(spark, table(spark, SF, "documents"), SF)
+            found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 20 << 20 and max(found) < 6 << 20
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def test_all_operators_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
     assert names == {f"op{n}" for n in range(1, 14)}

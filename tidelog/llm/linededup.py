@@ -210,6 +210,17 @@ def postings(sets: Sets, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray
     return [*(c.astype(t) for c, t in zip(columns, _FIELDS.values(), strict=True)), *(p[owner] for p in parity[2:])]
 
 
+def joined(gathered: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of all that was gathered end to end; each part goes when it is copied, so that little is there twice."""
+    columns = []
+    for k in range(len(gathered[0])):
+        columns.append(np.concatenate([g[k] for g in gathered]))
+        for g in gathered:
+            g[k] = columns[-1][:0]
+    gathered.clear()
+    return columns
+
+
 def earliest(columns: list[np.ndarray]) -> np.ndarray:
     """Marks the postings of the earliest line of each set; a line's postings come one after the other, from place 0 on."""
     _, doc, line, _, place, _, _, whole, *_ = columns
@@ -327,8 +338,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         gathered: list[list[np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*gathered, strict=True)]
-            gathered.clear()
+            columns = joined(gathered)
             # Of copies of a set that are gathered, only the earliest needs to meet others.
             first = earliest(columns)
             copy = np.flatnonzero(~first & (columns[_PLACE] == 0))
