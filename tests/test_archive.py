@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codec
 from tidelog.operators import archive
-from tidelog.schema import PACKAGE
+from tidelog.plans import QUERIES
+from tidelog.schema import PACKAGE, WIRE
 from tidelog.sources.npz import save_entry
 
 ONSET = 1_700_000_000_000_000
@@ -120,3 +121,23 @@ def test_last_write_and_native_store(spark, tmp_path):
     assert sorted((r.source_id, r.v) for r in kept.collect()) == [(1, "b"), (2, "c")]
     archive.store(kept, str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).filter("source_id = 2").count() == 1
+
+
+def test_archives_of_a_frame_take_no_file_for_each_entry(spark, tmp_path, monkeypatch):
+    directory = str(tmp_path / "log")
+    entries = codec.with_wire(packages(spark, [(s, t, bytes([s, t])) for s in (1, 12) for t in range(50)])).select(*WIRE.names)
+    made = archive.write_archives(entries, directory, verify_integrity=True)
+    assert made == [f"{directory}/12_log.npz", f"{directory}/1_log.npz"] and sorted(os.listdir(directory)) == ["12_log.npz", "1_log.npz"]
+    with np.load(made[1]) as members:
+        assert members.files == [f"001_{t:020d}" for t in range(50)] and members.files and members[members.files[7]].tolist() == [1, 7, 0, 0, 0, 0, 0, 0, 0, 1, 7]
+    assert archive.write_archives(entries.limit(0), directory) == []
+
+    def files(*_):
+        raise AssertionError("entry files")
+
+    monkeypatch.setattr(archive, "read_entries", files)
+    for name in ("npz_roundtrip", "archive_range_scan"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    monkeypatch.setattr(archive, "mismatches", lambda own, members, value: own)
+    with pytest.raises(ValueError, match="differs"):
+        archive.write_archives(entries, directory, verify_integrity=True)

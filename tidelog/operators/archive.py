@@ -134,26 +134,37 @@ def as_packages(wire: DataFrame) -> DataFrame:
     return wire.select("source_id", "acquisition_time", codec.payload_of(data).alias("serialized_data"), "entry_key", *place)
 
 
-def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sources: bool = True, verify_integrity: bool = False, tasks: int | None = None) -> list[str]:
-    """Consolidate the entry files of a log directory into one archive for each source; returns the archives.
+def write_archives(entries: DataFrame, directory: str, *, verify_integrity: bool = False, tasks: int | None = None) -> list[str]:
+    """Entries as stored (WIRE) as one archive for each source in a directory; returns the archives.
 
     Each source goes to one task in order of time and is streamed to its archive, so no source has to fit in memory.
-    An existing archive of a source is replaced, all of them at once when the last is whole. The files go only after the optional check found no difference;
-    ValueError if it did.
+    An existing archive of a source is replaced, all of them at once when the last is whole. ValueError if the optional check,
+    which reads all of them back, found a difference. `entries` are run again for each of these steps.
     """
-    entries = read_entries(spark, log_directory)
+    spark = entries.sparkSession
+    register(spark)
     sources = sorted(row["source_id"] for row in entries.select("source_id").distinct().collect())  # a byte: 256 at most
     if not sources:
         return []
-    ordered = entries.repartition(*([max(1, tasks)] if tasks is not None else []), "source_id").sortWithinPartitions("source_id", "acquisition_time", "entry_key")
-    ordered.write.format("npzlog").mode("append").save(log_directory)
-    written = sorted(os.path.join(log_directory, f"{source}_log.npz") for source in sources)
+    tasks = min(len(sources), 4 * spark.sparkContext.defaultParallelism) if tasks is None else max(1, tasks)  # by bytes of the shuffle there would be few
+    ordered = entries.repartition(tasks, "source_id").sortWithinPartitions("source_id", "acquisition_time", "entry_key")
+    ordered.write.format("npzlog").mode("append").save(directory)
+    written = sorted(os.path.join(directory, f"{source}_log.npz") for source in sources)
     if verify_integrity:
-        members = read_archives(spark, written)
-        bad = mismatches(entries, members, "data").select("source_id").first()
+        bad = mismatches(entries, read_archives(spark, written), "data").select("source_id").first()
         if bad is not None:
-            raise ValueError(f"the archive of source {bad['source_id']} in {log_directory} differs from the entries it was made of")
-    if remove_sources:
+            raise ValueError(f"the archive of source {bad['source_id']} in {directory} differs from the entries it was made of")
+    return written
+
+
+def assemble_log_archives(spark: SparkSession, log_directory: str, *, remove_sources: bool = True, verify_integrity: bool = False, tasks: int | None = None) -> list[str]:
+    """Consolidate the entry files of a log directory into one archive for each source, as write_archives(); returns the archives.
+
+    The files go only after the optional check found no difference; ValueError if it did.
+    """
+    entries = read_entries(spark, log_directory)
+    written = write_archives(entries, log_directory, verify_integrity=verify_integrity, tasks=tasks)
+    if written and remove_sources:
 
         def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
