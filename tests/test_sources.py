@@ -179,3 +179,28 @@ def test_paths_as_hadoop_names_them(spark, tmp_path):
         with pytest.raises(ValueError, match="mount"):
             local_path(other)
     shutil.rmtree(tmp_path)
+
+
+def test_members_are_read_many_at_a_time(tmp_path, monkeypatch):
+    """However others have written them, and none unseen that was damaged."""
+    path, arrays = str(tmp_path / "3_log.npz"), {}
+    for k in range(20):
+        arrays[key(3, k)] = np.frombuffer(stored(3, k), np.uint8)
+    arrays["wide"] = np.asfortranarray(np.frombuffer(stored(3, 99), np.uint8).reshape(4, 4))
+    arrays["long"] = np.frombuffer(stored(3, 77), np.uint16)
+    opened = []
+    real = zipfile.ZipFile.open
+    for save, opens in ((np.savez, 0), (np.savez_compressed, 22)):
+        save(path, **arrays)
+        monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, name, *a, **k: opened.append(name) or real(self, name, *a, **k))
+        reader = npz.MemberReader({"path": path})
+        batches = [batch for part in reader.partitions() for batch in reader.read(part)]
+        assert len(batches) == 1 and len(opened) == opens
+        monkeypatch.setattr(zipfile.ZipFile, "open", real)
+        assert [tuple(row.values()) for row in batches[0].to_pylist()] == [(r[0], r[1], n, r[3], k) for k, (n, a) in enumerate(arrays.items()) for r in [npz.row(n, a)]]
+    np.savez(path, **arrays)
+    with open(path, "r+b") as file:
+        file.seek(file.read().index(b"payload"))
+        file.write(b"P")
+    with pytest.raises(zipfile.BadZipFile, match="CRC"):
+        list(npz.MemberReader({"path": path}).read(npz.Span(path, 0, 1 << 30)))

@@ -7,6 +7,7 @@ source and time are those of its first nine bytes. Sinks write to a staging fold
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import os
@@ -14,12 +15,15 @@ import re
 import shutil
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from decimal import Decimal
+from math import prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StructType
@@ -29,6 +33,8 @@ from tidelog.schema import WIRE
 #: Entry files that one task reads, and bytes of an archive.
 PART, SPLIT = 4096, 64 << 20
 HEADER_BYTES = 9
+#: Members that are read at a time where all of an archive are, and bytes of an array's header and of a zip's before a member.
+TOGETHER, ARRAY_HEAD, LOCAL_HEAD = 4096, 10, 30
 NAME = re.compile(r"(\d{3})_(\d{20})")
 
 
@@ -66,14 +72,43 @@ class Wanted:
         return self.low <= time <= self.high and (self.sources is None or source in self.sources)
 
 
-def row(stem: str, data: np.ndarray) -> tuple:
-    """An entry as stored. ValueError if it is too short for its source and time."""
-    raw = data.tobytes()
+def _entry(stem: str, raw: bytes) -> bytes:
     if len(raw) < HEADER_BYTES:
         raise ValueError(f"the entry {stem} has no header")
+    return raw
+
+
+def row(stem: str, data: np.ndarray) -> tuple:
+    """An entry as stored. ValueError if it is too short for its source and time."""
+    raw = _entry(stem, data.tobytes())
     return raw[0], Decimal(int.from_bytes(raw[1:HEADER_BYTES], "little")), stem, raw
 
 
+@functools.lru_cache(4096)
+def _array_head(size: int) -> bytes:
+    """What an array of so many bytes begins with."""
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": "|u1", "fortran_order": False, "shape": (size,)})
+    return out.getvalue()
+
+
+@functools.lru_cache(4096)
+def _array_size(head: bytes) -> int | None:
+    """Bytes of the values after a header of version 1; None if they are not as they lie there."""
+    shape, fortran, dtype = np.lib.format.read_array_header_1_0(io.BytesIO(head[8:]))
+    return None if dtype.hasobject or (fortran and len(shape) > 1) else prod(shape) * dtype.itemsize
+
+
+def array_bytes(raw: bytes) -> bytes:
+    """The values of an array as a file has it. ValueError as by NumPy."""
+    if raw[:8] == b"\x93NUMPY\x01\x00":
+        start = ARRAY_HEAD + int.from_bytes(raw[8:ARRAY_HEAD], "little")
+        size = _array_size(raw[:start])
+        if size is not None and len(raw) - start >= size:
+            return raw[start : start + size]
+    return np.lib.format.read_array(io.BytesIO(raw), allow_pickle=False).tobytes()
+
+
 @dataclass
 class Files(InputPartition):
     names: list[str]
@@ -121,6 +156,9 @@ class MemberReader(DataSourceReader):
         if not partition.path:
             return
         with zipfile.ZipFile(partition.path) as archive:
+            if self.wanted == Wanted() and not self.only:
+                yield from self._whole(archive, [(place, m) for place, m in enumerate(archive.infolist()) if partition.low <= m.header_offset < partition.high])
+                return
             for place, member in enumerate(archive.infolist()):
                 stem = member.filename.removesuffix(".npy")
                 if not partition.low <= member.header_offset < partition.high or not self.wanted.name(stem):
@@ -135,6 +173,31 @@ class MemberReader(DataSourceReader):
                     yield *entry, place
 
 
+    def _whole(self, archive: zipfile.ZipFile, members: list[tuple[int, zipfile.ZipInfo]]) -> Iterator[pa.RecordBatch]:
+        """Members of which none is left out, many at a time; those that are not compressed are read as they lie in the file."""
+        with open(archive.filename, "rb") as file:
+            for k in range(0, len(members), TOGETHER):
+                some = members[k : k + TOGETHER]
+                data = [_entry(m.filename.removesuffix(".npy"), array_bytes(_stored(file, archive, m))) for _, m in some]
+                times = pa.array([int.from_bytes(d[1:HEADER_BYTES], "little") for d in data], pa.uint64()).cast(pa.decimal128(20, 0))
+                stems = [m.filename.removesuffix(".npy") for _, m in some]
+                columns = [pa.array([d[0] for d in data], pa.int32()), times, pa.array(stems, pa.string()), pa.array(data, pa.binary()), pa.array([place for place, _ in some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*WIRE.names, "place"])
+
+
+def _stored(file: io.BufferedReader, archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes:
+    """What a member holds. BadZipFile if it is not what was written."""
+    if member.compress_type == zipfile.ZIP_STORED and not member.flag_bits & 1:
+        file.seek(member.header_offset)
+        head = file.read(LOCAL_HEAD)
+        file.seek(int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"), os.SEEK_CUR)
+        raw = file.read(member.file_size)
+        if head[:4] == b"PK\x03\x04" and len(raw) == member.file_size and zlib.crc32(raw) == member.CRC:
+            return raw
+    with archive.open(member) as other:
+        return other.read()
+
+
 # --- Sinks ---
 
 
@@ -197,9 +260,7 @@ class ArchiveWriter(EntryWriter):
                     now = entry.source_id
                     names.append(f"{now}_log.npz")
                     archive = zipfile.ZipFile(os.path.join(folder, names[-1]), "x", zipfile.ZIP_STORED)
-                member = io.BytesIO()
-                np.lib.format.write_array(member, np.frombuffer(entry.data, np.uint8), allow_pickle=False)
-                archive.writestr(f"{entry.entry_key}.npy", member.getvalue())
+                archive.writestr(zipfile.ZipInfo(f"{entry.entry_key}.npy"), _array_head(len(entry.data)) + entry.data)
         except FileExistsError:
             raise ValueError(f"the entries of source {now} are not in order of source") from None
         finally:
