@@ -4,14 +4,16 @@ from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import archive
+from tidelog.plans import storage
 from tidelog.schema import PACKAGE
 from tidelog.streaming.decode import decoded
 from tidelog.streaming.ingest import DataLogger, entry_stream, package_stream, read_log
-from tidelog.streaming.producers import InboxReader, Producer, producer_stream
+from tidelog.streaming.producers import SCHEMA, InboxReader, Producer, producer_stream
 
 
 def put(spark, inbox, rows):
@@ -158,3 +160,22 @@ def test_messages_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
             query.processAllAvailable()
             query.stop()
         assert sorted((r.source_id, int(r.timestamp_us), bytes(r.payload)) for r in spark.read.parquet(out).collect()) == want
+
+
+def test_batches_share_files(spark, tmp_path):
+    """A stream pays for each file, so producers make few of many batches, none much larger than asked for."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([k] * 100, pa.int32()), pa.array(range(100), pa.decimal128(20, 0)), pa.array([b"x"] * 100)], schema=SCHEMA) for k in range(30)]
+    producer = Producer(str(tmp_path / "a"), "p")
+    producer.put_all(batches, file_bytes=3 * batches[0].nbytes)
+    producer.put_all([])
+    reader = InboxReader({"path": str(tmp_path / "a")})
+    (part,) = reader.partitions({}, reader.latestOffset())
+    assert len(part.paths) == producer.next == 10
+    assert pa.Table.from_batches(reader.read(part)) == pa.Table.from_batches(batches)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        inbox = storage._inbox(spark, "/root/testdata/sf0.001", str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert 1 <= sum(n.endswith(".arrow") for _, _, names in os.walk(inbox) for n in names) <= 5

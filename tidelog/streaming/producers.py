@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,8 +21,8 @@ from tidelog.runtime import ship
 from tidelog.schema import PACKAGE
 
 SCHEMA = pa.schema([("source_id", pa.int32()), ("acquisition_time", pa.decimal128(20, 0)), ("serialized_data", pa.binary())])
-#: Files that one task reads.
-TOGETHER = 64
+#: Files that one task reads, and bytes of a file that put_all() makes.
+TOGETHER, FILE = 64, 16 << 20
 
 
 def _file(folder: str, number: int) -> str:
@@ -46,9 +46,24 @@ class Producer:
     def put(self, rows: Sequence[tuple]) -> None:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(SCHEMA)
         arrays = [pa.array(list(columns[0]), pa.int32()), pa.array(list(map(int, columns[1])), pa.uint64()).cast(pa.decimal128(20, 0)), pa.array(list(map(bytes, columns[2])), pa.binary())]
+        self._write([pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)])
+
+    def put_all(self, batches: Iterable[pa.RecordBatch], file_bytes: int = FILE) -> None:
+        """Put Arrow batches (of the columns of PACKAGE) in files of about so many bytes, or of one batch: a stream pays for each file it takes in."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch.cast(SCHEMA))
+            if sum(b.nbytes for b in held) >= file_bytes:
+                self._write(held)
+                held = []
+        if held:
+            self._write(held)
+
+    def _write(self, batches: list[pa.RecordBatch]) -> None:
         part = os.path.join(self.folder, f".{uuid.uuid4().hex}")
         with pa.ipc.new_file(part, SCHEMA) as file:
-            file.write_table(pa.Table.from_arrays(arrays, schema=SCHEMA))
+            for batch in batches:
+                file.write_batch(batch)
         os.link(part, _file(self.folder, self.next))  # an error, and no overwriting, if another producer has this name
         os.unlink(part)
         self.next += 1
