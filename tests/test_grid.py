@@ -99,3 +99,23 @@ def test_large_array_stays_in_tasks(spark):
     array = Grid.zeros(spark, (3000, 2000), np.float32, (500, 500)).map(lambda v: v + 1).clip(0, 0.5)
     total = array[1000:, ::4].elements().agg(F.sum("value"), F.count("*")).first()
     assert tuple(total) == (500_000.0, 1_000_000)
+
+
+def test_blocks_are_filled_one_at_a_time(spark):
+    """A worker holds a few blocks, not all that an Arrow batch brings as Python values; and a block's values may come in several batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 40 * 64).select(F.expr("cast(id div 64 as int)").alias("i0"), F.expr("cast(id % 64 as int)").alias("i1"), F.expr("if(id = 77, null, id * 0.5D)").alias("value"))
+    want = np.arange(40 * 64).reshape(40, 64) * 0.5
+    want[1, 13] = np.nan
+    want = np.pad(want, ((0, 9), (0, 3)))
+    for most in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            array = Grid.of(rows, (49, 67), float, (8, 16))
+            assert np.array_equal(dense(array), want, equal_nan=True) and array.frame.count() == 35
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = array.frame._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    with pytest.raises(Exception, match="negative|out of bounds"):
+        Grid.of(rows, (49, 60), float, (8, 16)).frame.collect()

@@ -22,6 +22,8 @@ from tidelog.runtime import ship
 BLOCK = "start array<long>, size array<int>, block binary"
 #: Values of a block, and blocks of a tile, by default.
 VALUES, TILE = 1 << 16, 64
+#: Bytes of blocks that a Python worker takes in hand at a time, or one block.
+HAND = 4 << 20
 _META = "_grid.json"
 
 
@@ -29,15 +31,31 @@ def _values(row: dict, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(row["block"], dtype).reshape(row["size"])
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of about HAND bytes, or of one row."""
+    for batch in batches:
+        n = max(1, batch.num_rows * HAND // max(1, batch.nbytes))
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)
+
+
+def _batch(starts: list, sizes: list, blocks: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(starts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(blocks, pa.binary())], ["start", "size", "block"])
+
+
+def _column(values: pa.Array) -> np.ndarray:
+    plain = pa.types.is_integer(values.type) or pa.types.is_floating(values.type) or pa.types.is_boolean(values.type)
+    return values.to_numpy(zero_copy_only=False) if plain and not values.null_count else np.array(values.to_pylist())
+
+
 def _rows(frame: DataFrame, change: Callable[[list[int], np.ndarray], Iterator[tuple[list[int], np.ndarray]]], dtype: np.dtype) -> DataFrame:
     """Each block through `change`, which gets its place and values and gives blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some(batches):
             out = [(start, list(v.shape), np.ascontiguousarray(v).tobytes()) for row in batch.to_pylist() for start, v in change(row["start"], _values(row, dtype))]
             if out:
-                start, size, block = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(start, pa.list_(pa.int64())), pa.array(size, pa.list_(pa.int32())), pa.array(block, pa.binary())], ["start", "size", "block"])
+                yield _batch(*map(list, zip(*out, strict=True)))
 
     ship(frame.sparkSession)
     return frame.select("start", "size", "block").mapInArrow(run, BLOCK)
@@ -78,30 +96,47 @@ class Grid:
 
     @classmethod
     def of(cls, elements: DataFrame, shape: tuple[int, ...], dtype: str | np.dtype, chunk: tuple[int, ...] | None = None) -> Grid:
-        """From rows (i0, i1, ..., value), whose values meet by block; places without a row are 0, the last row of one place counts."""
-        empty = cls.zeros(elements.sparkSession, shape, dtype, chunk)
+        """From rows (i0, i1, ..., value), whose values meet by block; places without a row are 0, the last row of one place counts.
+
+        Rows come in order of their block, with a row without a value for each block that there is, and a worker fills one block at a time.
+        """
+        spark = elements.sparkSession
+        empty = cls.zeros(spark, shape, dtype, chunk)
         dims, dtype, chunk, shape = len(shape), empty.dtype, empty.chunk, empty.shape
-        tile = F.array(*(F.floor(F.col(f"i{k}") / chunk[k]).cast("long") * chunk[k] for k in range(dims)))
-        values = F.collect_list(F.struct(*(f"i{k}" for k in range(dims)), "value")).alias("own")
-        met = elements.groupBy(tile.alias("start")).agg(values)
+        counts = [-(-n // c) for n, c in zip(shape, chunk, strict=True)]
+        starts, places = [f"__s{k}" for k in range(dims)], [f"i{k}" for k in range(dims)]
+        given = elements.select(*((F.floor(F.col(i) / c).cast("long") * c).alias(s) for s, i, c in zip(starts, places, chunk, strict=True)), *(F.col(i).cast("long").alias(i) for i in places), "value")
+        kind = given.schema["value"].dataType
+        block = [F.expr(f"(id div {prod(counts[k + 1 :])}L) % {counts[k]}L * {chunk[k]}L").alias(s) for k, s in enumerate(starts)]
+        every = spark.range(prod(counts)).select(*block, *(F.lit(None).cast("long").alias(i) for i in places), F.lit(None).cast(kind).alias("value"), F.lit(False).alias("given"))
+        met = given.withColumn("given", F.lit(True)).unionByName(every).repartition(*starts).sortWithinPartitions(*starts)
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, block, size, out = None, None, None, ([], [], [])
             for batch in batches:
-                starts, sizes, blocks = [], [], []
-                for row in batch.to_pylist():
-                    start = row["start"]
-                    size = [min(c, n - s) for s, c, n in zip(start, chunk, shape, strict=True)]
-                    block = np.zeros(size, dtype)
-                    places = tuple(np.array([e[f"i{k}"] for e in row["own"]]) - start[k] for k in range(dims))
-                    block[places] = np.array([e["value"] for e in row["own"]]).astype(dtype)
-                    starts.append(start)
-                    sizes.append(size)
-                    blocks.append(block.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(blocks, pa.binary())], ["start", "size", "block"])
-
-        full = met.mapInArrow(fill, BLOCK)
-        rest = empty.frame.join(full.select("start"), "start", "left_anti").select("start", "size", "block")
-        return replace(empty, frame=full.unionByName(rest))
+                keys = np.stack([_column(batch.column(k)) for k in range(dims)], axis=1)
+                mask = batch.column(2 * dims + 1)
+                place = [_column(batch.column(dims + k).filter(mask)) for k in range(dims)]
+                value = _column(batch.column(2 * dims).filter(mask))
+                before = np.append(0, np.cumsum(mask.to_numpy(zero_copy_only=False)))
+                firsts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
+                for first, end in zip(firsts, [*firsts[1:], len(keys)], strict=bool(len(firsts))):
+                    start = keys[first].tolist()
+                    if start != now:
+                        if now is not None:
+                            for column, cell in zip(out, (now, size, block.tobytes()), strict=True):
+                                column.append(cell)
+                        now, size = start, [min(c, n - s) for s, c, n in zip(start, chunk, shape, strict=True)]
+                        block = np.zeros(size, dtype)
+                        if len(out[2]) * prod(chunk) * dtype.itemsize >= HAND:
+                            yield _batch(*out)
+                            out = ([], [], [])
+                    own = slice(before[first], before[end])
+                    block[tuple(p[own] - s for p, s in zip(place, start, strict=True))] = value[own].astype(dtype)
+            if now is not None:
+                yield _batch([*out[0], now], [*out[1], size], [*out[2], block.tobytes()])
+
+        return replace(empty, frame=met.mapInArrow(fill, BLOCK))
 
     def _ranges(self, key: object) -> list[range]:
         keys = key if isinstance(key, tuple) else (key,)
@@ -174,7 +209,7 @@ class Grid:
         kind = {"b": "boolean", "i": "long", "u": "long", "f": "double", "U": "string"}[dtype.kind]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _some(batches):
                 for row in batch.to_pylist():
                     values = _values(row, dtype)
                     places = [p.ravel() + s for p, s in zip(np.indices(values.shape), row["start"], strict=True)]
