@@ -65,3 +65,17 @@ def test_what_does_not_count(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="differ"):
         compact.compact(spark, directory, last=True)
     assert [r[1] for r in shown(spark, directory)] == [0, 1] and sum(n.startswith("packed-0") for n in os.listdir(directory)) == 1
+
+
+def test_the_order_of_batches_is_not_looked_up_by_row(spark, tmp_path, monkeypatch):
+    """It is the number in a folder's name, so that the work does not grow with rows times folders; numbers are not compared as text."""
+    directory = str(tmp_path)
+    monkeypatch.setattr(compact.F, "create_map", None)
+    for number in range(8, 12):
+        batch(spark, directory, number, [(1, 7, bytes([number])), (2, number, b"x")])
+    assert compact.compact(spark, directory) == 3
+    assert shown(spark, directory)[0] == (1, 7, bytes([10]))
+    assert compact.compact(spark, directory, last=True, fan=1) == 2
+    batch(spark, directory, 100, [(1, 7, b"last")])
+    assert compact.compact(spark, directory, last=True, fan=1) == 2
+    assert shown(spark, directory) == [(1, 7, b"last"), *((2, n, b"x") for n in range(8, 12))]

@@ -68,10 +68,10 @@ def compact(spark: SparkSession, directory: str, *, last: bool = False, file_byt
         return 0
     through = max([packed["through"], *numbers])
     paths = [os.path.join(directory, name) for name in names]
-    # A later folder holds later batches; its place orders entries with one key.
-    places = F.create_map(*(F.lit(v) for k, name in enumerate(names) for v in (name, k)))
+    # A later folder holds later batches; the number of its last one is in its name and orders entries with one key.
+    batch = F.regexp_extract("_metadata.file_path", r"/(?:batch=|packed-)(\d+)[^/]*/[^/]*$", 1).cast("long")
     rows = spark.read.option("recursiveFileLookup", True).parquet(*paths)
-    rows = rows.select("source_id", "acquisition_time", "entry_key", "data", places[F.regexp_extract("_metadata.file_path", r"/((?:batch=\d+)|(?:packed-[0-9a-f-]+))/[^/]*$", 1)].alias("folder"))
+    rows = rows.select("source_id", "acquisition_time", "entry_key", "data", batch.alias("folder"))
     entries = archive.last_write(rows, "folder").select("source_id", "acquisition_time", "entry_key", "data")
     name = f"packed-{through:020d}-{uuid.uuid4().hex}"
     target = os.path.join(directory, name)
